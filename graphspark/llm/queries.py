@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspark.llm import decontaminate, mixing, sharding, token_counts
+from graphspark.llm import decontaminate, exact_dedup, mixing, sharding, token_counts
 
 #: File name of the tokenizer model of op3; its folder comes from the tokenizer package.
 TOKENIZER = "piece_bpe_32k.model"
@@ -28,6 +28,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path(TOKENIZER)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.decide(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, CAST(count(*) OVER (PARTITION BY h) AS BIGINT) AS group_size,
+  row_number() OVER (PARTITION BY h ORDER BY doc_id) = 1 AS kept, h AS text_sha256 FROM d
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return decontaminate.contamination(docs, items).drop("text")
@@ -57,10 +68,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jump_sharding": op1_jump_sharding,
         "op3_token_counts": op3_token_counts,
+        "op4_grace_dedup": op4_grace_dedup,
         "op6_decontamination": op6_decontamination,
         "op9_cube_mixing": op9_cube_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL}
+    return {"op4_grace_dedup": OP4_SQL, "op6_decontamination": OP6_SQL}
