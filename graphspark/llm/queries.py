@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspark.llm import decontaminate, exact_dedup, mixing, sharding, token_counts
+from graphspark.llm import decontaminate, exact_dedup, html_text, mixing, sharding, token_counts
 
 #: File name of the tokenizer model of op3; its folder comes from the tokenizer package.
 TOKENIZER = "piece_bpe_32k.model"
@@ -64,6 +64,10 @@ def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jump_sharding": op1_jump_sharding,
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_grace_dedup": op4_grace_dedup,
         "op6_decontamination": op6_decontamination,
         "op9_cube_mixing": op9_cube_mixing,
+        "op10_template_removal": op10_template_removal,
     }
 
 
