@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspark.llm import decontaminate, exact_dedup, html_text, mixing, sharding, token_counts
+from graphspark.llm import decontaminate, exact_dedup, html_text, mixing, near_dedup, sharding, token_counts
 
 #: File name of the tokenizer model of op3; its folder comes from the tokenizer package.
 TOKENIZER = "piece_bpe_32k.model"
@@ -59,6 +59,11 @@ FROM dw LEFT JOIN hits USING (r) LEFT JOIN its USING (r)
 """
 
 
+def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.classes(docs).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -74,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_grace_dedup": op4_grace_dedup,
         "op6_decontamination": op6_decontamination,
+        "op8_probminhash": op8_probminhash,
         "op9_cube_mixing": op9_cube_mixing,
         "op10_template_removal": op10_template_removal,
     }
