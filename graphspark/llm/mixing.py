@@ -82,17 +82,17 @@ def land(size: np.ndarray, chance: np.ndarray) -> np.ndarray:
     return out
 
 
-def fly_and_land(size: np.ndarray, chance: np.ndarray, seed: int | list[int], landing: int = 14) -> np.ndarray:
-    """Flight over all but ``landing`` documents of various sizes, then the landing problem over these and the rest."""
+def fly_holding(size: np.ndarray, chance: np.ndarray, seed: int | list[int], landing: int = 14) -> np.ndarray:
+    """Flight over all but ``landing`` documents of various sizes, which stay undecided for the landing problem."""
     undecided = np.flatnonzero((chance > EDGE) & (chance < 1 - EDGE))
-    held = undecided[np.linspace(0, len(undecided) - 1, min(landing, len(undecided))).astype(int)]
+    held = np.unique(undecided[np.linspace(0, len(undecided) - 1, min(landing, len(undecided))).astype(int)])
     flying = np.setdiff1d(np.arange(len(chance)), held)
     out = chance.astype(float).copy()
     out[flying] = fly(size[flying], chance[flying], seed)
-    return land(size, out)
+    return out
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 20_000, max_sources: int = 100_000, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 4000, max_sources: int = 100_000, seed: int = 42) -> DataFrame:
     """One row for each row of ``docs``: the key, the source, ``size source_size target copies taken text_hash``.
 
     ``size`` counts the words between white space; null and empty texts have none. ``taken`` is ``copies * size``, and
@@ -121,7 +121,11 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
         def run(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values(["size", "text_hash", "key"], ascending=[False, True, True], kind="stable", ignore_index=True)
             size, chance = group["size"].to_numpy(), group["chance"].to_numpy()
-            chance = (fly_and_land if final else fly)(size, chance, [seed, int(group["no"].iloc[0]), int(group["block"].iloc[0]), int(final)])
+            no, block = int(group["no"].iloc[0]), int(group["block"].iloc[0])
+            # The first block of a source keeps some documents of various sizes for the landing problem.
+            chance = (fly_holding if block == 0 else fly)(size, chance, [seed, no, block, int(final)])
+            if final:
+                chance = land(size, chance)
             return group.assign(chance=chance)
 
         return run
@@ -136,7 +140,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
             break
         undecided = F.col("chance").between(EDGE, 1 - EDGE)
         done.append(flown.where(~undecided))
-        # Two documents of each block at most go on, so a block of the next level takes those of block / 2 blocks.
+        # About two documents of each block go on, so a block of the next level takes those of block / 2 blocks.
         joined = flown.where(undecided).withColumn("block", F.floor(F.col("block") / (block // 2)).cast("long"))
         most_blocks = -(-most_blocks // (block // 2))
     out = done[0]
