@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspark.llm import decontaminate, exact_dedup, html_text, mixing, near_dedup, sharding, token_counts
+from graphspark.llm import decontaminate, exact_dedup, html_text, mixing, near_dedup, personal_data, sharding, token_counts
 
 #: File name of the tokenizer model of op3; its folder comes from the tokenizer package.
 TOKENIZER = "piece_bpe_32k.model"
@@ -44,6 +44,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, items).drop("text")
 
 
+def op5_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 OP6_SQL = r"""
 WITH dw AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_jump_sharding": op1_jump_sharding,
         "op3_token_counts": op3_token_counts,
         "op4_grace_dedup": op4_grace_dedup,
+        "op5_weak_pii": op5_weak_pii,
         "op6_decontamination": op6_decontamination,
         "op8_probminhash": op8_probminhash,
         "op9_cube_mixing": op9_cube_mixing,
