@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspark.llm import decontaminate, exact_dedup, html_text, mixing, near_dedup, personal_data, sharding, token_counts
+from graphspark.llm import decontaminate, deleted_interpolation, exact_dedup, html_text, mixing, near_dedup, personal_data, sharding, token_counts
 
 #: File name of the tokenizer model of op3; its folder comes from the tokenizer package.
 TOKENIZER = "piece_bpe_32k.model"
@@ -21,6 +21,10 @@ def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,6 +84,7 @@ def op10_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jump_sharding": op1_jump_sharding,
+        "op2_deleted_interpolation": op2_deleted_interpolation,
         "op3_token_counts": op3_token_counts,
         "op4_grace_dedup": op4_grace_dedup,
         "op5_weak_pii": op5_weak_pii,
