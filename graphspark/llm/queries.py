@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspark.llm import decontaminate, deleted_interpolation, exact_dedup, html_text, mixing, near_dedup, personal_data, sharding, token_counts
+from graphspark.llm import decontaminate, deleted_interpolation, exact_dedup, html_text, kneser_ney, mixing, near_dedup, personal_data, sharding, token_counts
 
 #: File name of the tokenizer model of op3; its folder comes from the tokenizer package.
 TOKENIZER = "piece_bpe_32k.model"
@@ -67,6 +67,11 @@ FROM dw LEFT JOIN hits USING (r) LEFT JOIN its USING (r)
 """
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return kneser_ney.judge(docs, table(spark, sf_dir, "labels")).select("doc_id", "lang", F.round("quality_bits", 6).alias("quality_bits"), F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
+
+
 def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.classes(docs).select("doc_id", "class_id", "class_size", "kept")
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_grace_dedup": op4_grace_dedup,
         "op5_weak_pii": op5_weak_pii,
         "op6_decontamination": op6_decontamination,
+        "op7_kneser_ney": op7_kneser_ney,
         "op8_probminhash": op8_probminhash,
         "op9_cube_mixing": op9_cube_mixing,
         "op10_template_removal": op10_template_removal,
