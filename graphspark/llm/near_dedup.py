@@ -4,8 +4,9 @@ A document is the multiset of its runs of five words. Shingle ``s`` with weight
 count) sends arrivals of a Poisson process of rate ``w``, each to a random register; a register keeps the shingle that
 arrived first. Two documents agree in a register with the probability Jaccard similarity of their weights. Arrivals of a
 shingle end as soon as they come later than the latest register of the document, so long documents cost about one arrival
-a shingle. Registers in bands give buckets; in a bucket every document is compared with one leader, and what remains in
-other components after that is compared pair by pair, so no link that banding finds is lost.
+a shingle. Registers in bands give buckets; in a bucket every document is compared with one leader. What is alike by
+signature and still in different components after that is compared text by text, all pairs in memory, so no link that
+banding finds is lost; but only links that join components come out, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -157,6 +158,14 @@ def _alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return joined.where(fits).select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The text of each wanted node, once."""
+    asked = wanted.join(nodes.select("node", "digest", "least"), "node")
+    own = docs.select(F.col(key).cast("long").alias("least"), F.col(text).alias("text")).withColumn("digest", digest("text"))
+    found = own.join(asked, (own["digest"] == asked["digest"]) & own["least"].eqNullSafe(asked["least"])).select("node", "text")
+    return materialise(found.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
     """The pairs whose texts have the similarity, from the texts themselves."""
 
@@ -166,10 +175,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, tex
                 near = jaccard(part.column(2), part.column(3)) >= similarity - 1e-12
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(near))
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest", "least"), "node")
-    own = docs.select(F.col(key).cast("long").alias("least"), F.col(text).alias("text")).withColumn("digest", digest("text"))
-    found = own.join(asked, (own["digest"] == asked["digest"]) & own["least"].eqNullSafe(asked["least"])).select("node", "text")
-    texts = materialise(found.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, key, text)
     one = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
     return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
@@ -179,34 +185,98 @@ def digest(text: str) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256), 1, 32))
 
 
-def _rest(members: DataFrame, nodes: DataFrame, component: DataFrame, similarity: float, block: int = 2048) -> DataFrame:
-    """Pairs of a bucket that lie in different components, agree by size and signature and have no leader among them.
+def _dealt(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """Rows of groups for ``groupBy(group, "i", "j")``: a group of more than ``block`` rows goes to all pairs of its blocks."""
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(group, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    placed = rows.join(sizes, group).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks")
+
+
+class Forest:
+    """Joins rows of a group into trees; only the links that join two of them are kept."""
+
+    def __init__(self, node: np.ndarray, label: np.ndarray):
+        self.node, self.label, self.links = node, label.copy(), []
 
-    A bucket of more than ``block`` such documents is dealt out to pairs of blocks; the comparison itself goes over
-    signatures in memory, and only pairs that pass leave it.
+    def join(self, row: int, others: np.ndarray) -> None:
+        label, first = np.unique(self.label[others], return_index=True)
+        new = label != self.label[row]
+        if new.any():
+            self.links.extend((int(self.node[row]), int(self.node[others[k]])) for k in first[new])
+            self.label[np.isin(self.label, label[new])] = self.label[row]
+
+    def table(self) -> pa.Table:
+        return pa.table({"a": pa.array([min(x) for x in self.links], pa.int64()), "b": pa.array([max(x) for x in self.links], pa.int64())})
+
+
+def _suspected(members: DataFrame, nodes: DataFrame, component: DataFrame, similarity: float, block: int = 2048) -> DataFrame:
+    """Links that make trees of what signatures find alike in each bucket, across the components so far.
+
+    All pairs of a bucket count, but comparing goes over signatures in memory, passes over what a tree already holds,
+    and leaves at most one link for each document of a bucket.
     """
-    placed = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 AND low < high").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = placed.where("node <> leader").join(mixed, "bucket").join(nodes.select("node", "size", "sketch"), "node")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "component", "size", "sketch")
+    placed = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")).select("bucket", "node", "component")
+    rows = _dealt(placed, "bucket", block).join(nodes.select("node", "size", "sketch"), "node")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         mine, node, comp, size = (table.column(c).to_numpy() for c in ("mine", "node", "component", "size"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-        out_a, out_b = [], []
-        rows = np.flatnonzero(mine == key[1].as_py())
-        cols = np.flatnonzero(mine == key[2].as_py())
-        for r in rows.tolist():
-            fit = cols[(comp[cols] != comp[r]) & (np.minimum(size[cols], size[r]) >= similarity * np.maximum(size[cols], size[r]) - 1e-9)]
+        forest, cols = Forest(node, comp), np.flatnonzero(mine == key[2].as_py())
+        for r in np.flatnonzero(mine == key[1].as_py()).tolist():
+            fit = cols[(forest.label[cols] != forest.label[r]) & (np.minimum(size[cols], size[r]) >= similarity * np.maximum(size[cols], size[r]) - 1e-9)]
             if len(fit):
-                near = fit[(sketch[fit] == sketch[r]).mean(axis=1) >= similarity - SKETCH_MARGIN]
-                out_a.extend(np.minimum(node[near], node[r]).tolist())
-                out_b.extend(np.maximum(node[near], node[r]).tolist())
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+                forest.join(r, fit[(sketch[fit] == sketch[r]).mean(axis=1) >= similarity - SKETCH_MARGIN])
+        return forest.table()
 
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def _proved(suspects: DataFrame, links: DataFrame, nodes: DataFrame, component: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, block: int = 1024) -> DataFrame:
+    """Exact links between the components that suspicion connects: all their texts are compared, trees of links come out."""
+    cluster = connected_components(suspects.union(links)).withColumnRenamed("component", "cluster")
+    rows = cluster.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    dealt = materialise(_dealt(rows, "cluster", block), "near-clusters")
+    texts = _texts(dealt.select("node").distinct(), nodes, docs, key, text)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        mine, node, comp = (table.column(c).to_numpy() for c in ("mine", "node", "component"))
+        of, value, _ = shingles(table.column("text").combine_chunks())
+        size = np.bincount(of, minlength=len(node))
+        i, j = (np.flatnonzero(mine == k.as_py()) for k in key[1:])
+        forest = Forest(node, comp)
+        for start in range(0, len(i), 256):
+            rows = i[start : start + 256]
+            common = common_shingles(of, value, rows, j)
+            near = common >= similarity * (size[rows][:, None] + size[j] - common) - 1e-9
+            for r, hits in zip(rows.tolist(), near, strict=True):
+                forest.join(r, j[hits & (size[j] > 0)])
+        return forest.table()
+
+    ready = dealt.join(texts, "node").select("cluster", "i", "j", "mine", "node", "component", "text")
+    return ready.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def common_shingles(of: np.ndarray, value: np.ndarray, rows: np.ndarray, cols: np.ndarray, width: int = 4096) -> np.ndarray:
+    """How many shingles each text of ``rows`` has in common with each of ``cols``."""
+    out = np.zeros((len(rows), len(cols)), dtype=np.float32)
+    place = [np.full(int(of.max(initial=0)) + 1, -1), np.full(int(of.max(initial=0)) + 1, -1)]
+    for p, texts in zip(place, (rows, cols), strict=True):
+        inside = texts[texts < len(p)]
+        p[inside] = np.arange(len(texts))[texts < len(p)]
+    left, right = place[0][of] >= 0, place[1][of] >= 0
+    both = np.intersect1d(value[left], value[right])
+    for start in range(0, len(both), width):
+        part = both[start : start + width]
+        sides = []
+        for p, which, n in ((place[0], left, len(rows)), (place[1], right, len(cols))):
+            at = np.searchsorted(part, value[which])
+            hit = part[np.minimum(at, len(part) - 1)] == value[which]
+            side = np.zeros((n, len(part)), dtype=np.float32)
+            side[p[of[which][hit]], at[hit]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -227,11 +297,11 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similar
     shared = spread.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("bucket", "leader")
     members = materialise(spread.join(shared, "bucket"), "near-members")
     stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    checked = lambda pairs: materialise(_verified(materialise(pairs, "near-pairs"), nodes, docs, key, text, similarity), "near-links")
-    links = checked(_alike(stars, nodes, similarity))
+    alike = materialise(_alike(stars, nodes, similarity), "near-pairs")
+    links = materialise(_verified(alike, nodes, docs, key, text, similarity), "near-links")
     component = connected_components(links)
-    more = checked(_rest(members, nodes, component, similarity))
-    component = connected_components(links.union(more))
+    suspects = materialise(_suspected(members, nodes, component, similarity), "near-suspects")
+    component = connected_components(links.union(_proved(suspects, links, nodes, component, docs, key, text, similarity)))
 
     placed = nodes.select("digest", "least", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = docs.select(F.col(key).cast("long").alias("key"), digest(text).alias("digest")).groupBy("key", "digest").agg(F.count(F.lit(1)).alias("copies"))
