@@ -20,6 +20,11 @@ def _directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def _family(path: Column) -> Column:
+    """Languages that can call each other: Python, JavaScript with TypeScript, Go."""
+    return F.when(path.endswith(".py"), "py").when(path.endswith(".go"), "go").otherwise("js")
+
+
 def _best(proposals: DataFrame) -> DataFrame:
     """``(id, target, rank)``, the best proposal of each edge."""
     return proposals.groupBy("id").agg(F.min(F.struct("rank", "preference", "target")).alias("x")).select("id", "x.target", "x.rank")
@@ -76,6 +81,8 @@ def resolve_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     through_import = open_calls.join(imported_name, ["file", "name"]).join(resolved.select(F.col("id").alias("import_id"), "target"), "import_id").select("id", F.lit(9).alias("rank"), F.lit(0).alias("preference"), "target")
 
     this = F.col("owner") == "this"
+    # The loosest rules stay within a language: a name that another language shares says nothing about a call.
+    related = _family(F.col("file")) == _family(F.col("t_file"))
     proposals = [
         by(this & (scope == caller_class), functions, 0),
         by(dotted & ~this & (scope == F.concat("file", F.lit(":"), "owner")), functions, 1),
@@ -83,8 +90,8 @@ def resolve_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         by(dotted & (F.col("around") != "") & ((scope == caller_class) | F.startswith(caller_class, F.concat(scope, F.lit("."))) & ~top) & in_file, functions, 3),
         by(dotted & in_file & top, functions, 4),
         by((F.instr("owner", ".") > 0) & (scope == caller_class), functions, 5),
-        by(dotted & top, functions, 6, prefer_other_file=True),
-        by(dotted & ~top, functions, 7, prefer_other_file=True),
+        by(dotted & top & related, functions, 6, prefer_other_file=True),
+        by(dotted & ~top & related, functions, 7, prefer_other_file=True),
         by(~dotted & (in_file | (F.col("file").endswith(".go") & F.col("t_file").endswith(".go") & (_directory(F.col("file")) == _directory(F.col("t_file"))))), symbols, 8),
         through_import,
     ]
@@ -114,13 +121,14 @@ def function_params(nodes: DataFrame) -> DataFrame:
 def param_flow(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges from argument variables to the parameters that take them, for calls that lead to a function.
 
-    Arguments go by position, keyword arguments by name. A parameter ``self`` or ``cls`` of a method takes none.
+    Arguments go by position, keyword arguments by name. ``self`` and ``cls`` of a method and a receiver in Go take none.
     """
     calls = edges.where("edge_type = 'calls'").select("id", "from_node", "to_node", "location", "code", C.metadata(F.col("metadata"))["args"].alias("args"))
     args = calls.select("id", "from_node", "to_node", "location", "code", F.explode("args").alias("arg")).where(F.col("arg.kind").isin("name", "attr", "kw") & (F.col("arg.name") != ""))
     params = function_params(nodes)
     own = Window.partitionBy("function").orderBy("position")
-    params = params.withColumn("bound", (F.first("name").over(own).isin("self", "cls")).cast("int")).withColumn("position", F.col("position") - F.col("bound")).where("position >= 0")
+    receiver = C.file_of(F.col("function")).endswith(".go") & F.contains(C.symbol_of(F.col("function")), F.lit("."))
+    params = params.withColumn("bound", (F.first("name").over(own).isin("self", "cls") | receiver).cast("int")).withColumn("position", F.col("position") - F.col("bound")).where("position >= 0")
     by_name = F.col("arg.kw").isNotNull()
     hit = args.join(params, (F.col("to_node") == F.col("function")) & F.when(by_name, F.col("arg.kw") == F.col("name")).otherwise(F.col("arg.index") == F.col("position")))
     caller_scope = C.scope_of(F.col("from_node"))
