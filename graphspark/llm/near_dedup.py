@@ -26,6 +26,8 @@ from graphspark.llm.words import NOT_SPACE, slices, tokenise
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
+#: What is in memory at a time; signatures of many short texts need more than the texts.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1000
 #: Signatures that agree in fewer registers are not verified: six standard deviations under the similarity asked for.
 SKETCH_MARGIN = 6 * (0.16 / REGISTERS) ** 0.5
 _ODD = (np.random.default_rng(7).integers(1 << 62, size=64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -54,7 +56,7 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     text = np.repeat(np.arange(len(counts)), counts)
     left = ends[text] - np.arange(len(tokens))  # words from here to the end of the text
     value = hashes * _ODD[0]
-    for k in range(1, words):
+    for k in range(1, min(words, len(value))):
         value[: len(value) - k] += np.where(left[: len(value) - k] > k, hashes[k:] * _ODD[k], np.uint64(0))
     starts = (left >= words) | ((counts[text] < words) & (left == counts[text]))
     text, value = text[starts], mix(value[starts])
@@ -115,7 +117,7 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE_BYTES, SLICE_ROWS):
                 texts = part.column(1)
                 digests = [hashlib.sha256((t or "").encode()).digest()[:16] for t in texts.to_pylist()]
                 new = np.zeros(len(digests), dtype=bool)
@@ -139,6 +141,7 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                     if ok:
                         buckets[row], sketch[row] = keys[j], short[j].tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(size), pa.array(sketch, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["key", "digest", "size", "sketch", "buckets"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "key long, digest binary, size long, sketch binary, buckets array<long>")
 
@@ -171,7 +174,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, tex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text_a", 2 << 20):
+            for part in slices(batch, "text_a", SLICE_BYTES, SLICE_ROWS):
                 near = jaccard(part.column(2), part.column(3)) >= similarity - 1e-12
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(near))
 

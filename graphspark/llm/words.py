@@ -63,12 +63,13 @@ def tokenise(texts: pa.Array, word: np.ndarray, lower: bool = False) -> tuple[pa
     return string_array(kept, lengths), counts
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts hold about ``most`` bytes; a longer text comes alone."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of ``rows`` rows at most whose texts hold about ``most`` bytes; a longer text comes alone."""
     if batch.num_rows == 0:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = (np.cumsum(sizes) - sizes) // most
+    # Both numbers rise along the rows, so their sum changes wherever one of them does.
+    part = (np.cumsum(sizes) - sizes) // most + np.arange(len(sizes)) // rows
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
