@@ -93,7 +93,7 @@ class WindowIndex:
         places = np.flatnonzero(self.prefix[ids])
         places = places[np.argsort(ids[places], kind="stable")]
         words, first = np.unique(ids[places], return_index=True)
-        for word, a, b in zip(words.tolist(), first.tolist(), [*first[1:].tolist(), len(places)], strict=True):
+        for word, a, b in zip(words.tolist(), first.tolist(), np.append(first, len(places))[1:].tolist(), strict=True):
             where = places[a:b]
             text = np.searchsorted(ends, where, side="right")
             low, high = ends[text] - counts[text], ends[text]
