@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 
@@ -9,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphspark.functions import columns as C
-from graphspark.operators import normalize, resolve, traverse
+from graphspark.operators import export, normalize, resolve, traverse
+from graphspark.plans import build
 from graphspark.plans.graph import CodeGraph
+from graphspark.sources import tree
 from graphspark.trade import trade_graph, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -470,3 +473,86 @@ def _(g: CodeGraph) -> DataFrame:
 @query("export_edges", "SELECT from_node, to_node, edge_type FROM tg_edges WHERE edge_type IN ('calls', 'reads', 'imports', 'defines')")
 def _(g: CodeGraph) -> DataFrame:
     return g.export_edges()
+
+
+# Over the tables themselves
+
+
+def table_query(name: str, sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@table_query("search_documents", "SELECT doc_id, source, length(text) AS n FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'licensed under')")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").where(C.contains_folded(F.col("text"), "Licensed UNDER")).select("doc_id", "source", F.length("text").cast("long").alias("n"))
+
+
+@table_query("page_links", """SELECT link, count(*) AS pages FROM (SELECT unnest(list_distinct(regexp_extract_all(html, 'href="(/[^"]*)"', 1))) AS link FROM pages) GROUP BY link""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1)))
+    return _table(spark, sf_dir, "pages").select(F.explode(links).alias("link")).groupBy("link").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@table_query("file_hashes", "SELECT doc_id, lang, sha256(text) AS source_hash, substr(sha256(text), 1, 12) AS short_hash, strlen(text) AS size FROM documents")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    return _table(spark, sf_dir, "documents").select("doc_id", "lang", sha.alias("source_hash"), F.substring(sha, 1, 12).alias("short_hash"), F.octet_length("text").cast("long").alias("size"))
+
+
+@table_query("incremental_diff", """SELECT path, CASE WHEN was IS NULL THEN 'new' WHEN now IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT 'k' || CAST(s_suppkey AS VARCHAR) AS path, sha256(CAST(s_nationkey AS VARCHAR)) AS now FROM supplier)
+FULL JOIN (SELECT 'k' || CAST(c_custkey AS VARCHAR) AS path, sha256(CAST(c_nationkey AS VARCHAR)) AS was FROM customer) USING (path) WHERE now IS DISTINCT FROM was""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as the files of now, customers as those of the build before."""
+    files = lambda t, key, value: _table(spark, sf_dir, t).select(F.concat(F.lit("k"), F.col(key).cast("string")).alias("path"), F.sha2(F.col(value).cast("string").cast("binary"), 256).alias("source_hash"))
+    return build.changes(files("supplier", "s_suppkey", "s_nationkey"), files("customer", "c_custkey", "c_nationkey"))
+
+
+@table_query("upsert_latest", "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.latest(_table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id"), "user_id", "event_id")
+
+
+@query("file_languages", "SELECT CASE WHEN name LIKE '%.py' THEN 'python' WHEN name LIKE '%.go' THEN 'go' WHEN name LIKE '%.ts' THEN 'typescript' WHEN name LIKE '%.js' THEN 'javascript' ELSE '' END AS language, count(*) AS files FROM tg_nodes WHERE kind = 'File' GROUP BY 1")
+def _(g: CodeGraph) -> DataFrame:
+    return g.nodes.where("kind = 'File'").groupBy(C.language(F.col("name")).alias("language")).agg(F.count(F.lit(1)).alias("files"))
+
+
+def _xml(column: str) -> str:
+    return f"replace(replace(replace(replace({column}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(
+    "export_graphml",
+    f"""SELECT 1 AS part, '    <node id="' || {_xml('id')} || '">' || CASE WHEN kind <> '' THEN '<data key="kind">' || {_xml('kind')} || '</data>' ELSE '' END || CASE WHEN name <> '' THEN '<data key="name">' || {_xml('name')} || '</data>' ELSE '' END || CASE WHEN scope <> '' THEN '<data key="scope">' || {_xml('scope')} || '</data>' ELSE '' END || '</node>' AS line FROM tg_nodes WHERE kind <> 'External'
+UNION ALL SELECT 2, '    <edge source="' || {_xml('from_node')} || '" target="' || {_xml('to_node')} || '"><data key="edge_type">' || edge_type || '</data></edge>' FROM tg_edges WHERE edge_type IN ('calls', 'reads', 'imports', 'defines') AND from_node IN (SELECT id FROM tg_nodes WHERE kind <> 'External') AND to_node IN (SELECT id FROM tg_nodes WHERE kind <> 'External')""",
+)
+def _(g: CodeGraph) -> DataFrame:
+    return export.lines(g, "graphml").where("part IN (1, 2)").select("part", "line")
+
+
+@query(
+    "export_dot",
+    """SELECT '  "' || from_node || '" -> "' || to_node || '" [label="' || edge_type || '", color="' || CASE edge_type WHEN 'calls' THEN '#D0021B' WHEN 'reads' THEN '#9B9B9B' WHEN 'imports' THEN '#4A90D9' ELSE '#417505' END || '"];' AS line
+FROM tg_edges WHERE edge_type IN ('calls', 'reads', 'imports', 'defines') AND from_node IN (SELECT id FROM tg_nodes) AND to_node IN (SELECT id FROM tg_nodes)""",
+)
+def _(g: CodeGraph) -> DataFrame:
+    return export.lines(g, "dot", include_external=True).where("part = 2").select("line")
+
+
+@table_query("extract_sources", None)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of this package's own sources: scan, extraction, normalising and resolution without a store. No SQL can parse."""
+    files = tree.scan(spark, os.path.dirname(os.path.abspath(__file__)), "python")
+    tables = build.finish(build.raw_tables(files))
+    nodes = tables["nodes"].groupBy(F.lit("node").alias("fact"), F.col("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return nodes.union(tables["edges"].groupBy(F.lit("edge"), F.col("edge_type")).agg(F.count(F.lit(1))))
