@@ -40,9 +40,8 @@ def extract_facts(files: DataFrame) -> DataFrame:
     return files.select("path", "lang", "content").mapInPandas(run, RAW)
 
 
-def raw_tables(files: DataFrame) -> dict[str, DataFrame]:
+def raw_tables(facts: DataFrame) -> dict[str, DataFrame]:
     """The facts as tables of nodes, edges and transforms with the file and the place in it they come from."""
-    facts = extract_facts(files).persist()
     return {f"raw_{kind}s": facts.where(f"{kind} IS NOT NULL").select("path", "seq", f"{kind}.*") for kind in ("node", "edge", "transform")}
 
 
@@ -81,13 +80,15 @@ def build(spark: SparkSession, root: str, store_path: str, *, full: bool = False
     n_changed = changed.count()
     if n_changed == 0:
         return {"status": "unchanged", "changed_files": 0, "total_files": total} | _stats(store)
-    fresh = raw_tables(files.join(changed.where("change <> 'removed'"), "path", "left_semi"))
+    # Each of the tables below reads the facts, and parsing is the dearest step.
+    facts = extract_facts(files.join(changed.where("change <> 'removed'"), "path", "left_semi")).persist()
+    fresh = raw_tables(facts)
     if before is not None:
         gone = changed.select("path")
         fresh = {k: store.read(k).join(gone, "path", "left_anti").unionByName(df) for k, df in fresh.items()}
     tables = {"files": files.select("path", "lang", "source_hash", "size")} | fresh
     written = store.write({**tables, **finish(fresh)})
-    for df in (files, changed):
+    for df in (files, changed, facts):
         df.unpersist()
     return {"status": "ok", "changed_files": n_changed, "total_files": total, "version": written} | _stats(store)
 

@@ -553,6 +553,6 @@ def _(g: CodeGraph) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of this package's own sources: scan, extraction, normalising and resolution without a store. No SQL can parse."""
     files = tree.scan(spark, os.path.dirname(os.path.abspath(__file__)), "python")
-    tables = build.finish(build.raw_tables(files))
+    tables = build.finish(build.raw_tables(build.extract_facts(files).persist()))
     nodes = tables["nodes"].groupBy(F.lit("node").alias("fact"), F.col("kind")).agg(F.count(F.lit(1)).alias("n"))
     return nodes.union(tables["edges"].groupBy(F.lit("edge"), F.col("edge_type")).agg(F.count(F.lit(1))))
