@@ -69,7 +69,7 @@ def chunks(docs: DataFrame, key: str, text: str, chunk_bytes: int) -> DataFrame:
             )
 
         for batch in batches:
-            for whole in slices(batch, "text"):
+            for whole in slices(batch, "text", 1 << 20):
                 of = whole.column(1).to_numpy(zero_copy_only=False)
                 for deleted in (True, False):
                     part = whole.filter(pa.array((of == DELETED) == deleted))
@@ -110,13 +110,13 @@ class Chunk:
         self.begin = len(self.keys)
         self.context = np.where(first, self.begin, np.append(0, self.ids[:-1]))
         both = np.append(self.keys, BEGIN)
-        local, self.pair = np.unique(self.context << 32 | self.ids, return_inverse=True)
+        local, pair = np.unique(self.context << 32 | self.ids, return_inverse=True)
         keys = pair_keys(both[local >> 32], both[local & 0xFFFFFFFF])
         order = np.argsort(keys)
         self.pair_keys = keys[order]
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        self.pair = place[self.pair]
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.pair = place[pair]
         self.words = both
         self.fold_of = np.repeat(self.folds, self.lengths)
 
@@ -154,6 +154,7 @@ def questions(packed: DataFrame, shards: int) -> DataFrame:
                         if a < b:
                             out.append((s, order, chunk.id, b - a, pack(keys[a:b], delta=True), pack(kept[a:b].astype(np.int64)), pack(gone[a:b].astype(np.int64))))
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, t), v in zip((("shard", pa.int64()), ("ord", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("kept", pa.binary()), ("gone", pa.binary())), zip(*out, strict=True), strict=True)})
+                del chunk, out, keys, kept, gone, shard  # before the next chunk is unpacked
 
     return packed.mapInArrow(run, "shard long, ord int, chunk long, n long, keys binary, kept binary, gone binary")
 
@@ -210,7 +211,7 @@ def learn_weights(rows: list[tuple[int, int, int, int]], vocabulary: int, rounds
     return weights
 
 
-def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", chunk_bytes: int = 8 << 20, shard_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", chunk_bytes: int = 6 << 20, shard_bytes: int = 12 << 20) -> DataFrame:
     """One row for each row of ``docs``: the key, ``held_out n_tokens n_known train_tokens base_score score``.
 
     Words are what white space ends, with A-Z in lower case; an end follows the last word and counts as a token. Null and
@@ -250,9 +251,12 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", chunk_byt
             chunk = Chunk(row)
             (_, words), (_, pairs) = chunk.answers(rows, 1), chunk.answers(rows, 2)
             own, context = words[chunk.ids], words[chunk.context]
-            w = weights[bucket(context)]
-            p2 = np.divide(pairs[chunk.pair], context, out=np.zeros(len(context)), where=context > 0)
-            p = w[:, 0] * p2 + w[:, 1] * own / max(1, n_all) + w[:, 2] / (v_all + 1)
+            of = bucket(context).astype(np.int8)
+            p = np.divide(pairs[chunk.pair], context, out=np.zeros(len(context)), where=context > 0)
+            p *= weights[of, 0]
+            p += weights[of, 1] / max(1, n_all) * own
+            p += weights[of, 2] / (v_all + 1)
+            del of, context, words, pairs
             base = np.log10((own + 0.5) / (n_all + 0.5 * (v_all + 1)))
             parts.append(pa.table([pa.array(chunk.doc_keys, pa.int64()), pa.array(chunk.folds == HELD_OUT), pa.array(chunk.lengths), pa.array(per_text((own > 0).astype(np.int64), chunk.lengths)), pa.array(np.full(len(chunk.lengths), n_all)), pa.array(np.add.reduceat(base, np.cumsum(chunk.lengths) - chunk.lengths)), pa.array(np.add.reduceat(np.log10(p), np.cumsum(chunk.lengths) - chunk.lengths))], names))
         return pa.concat_tables(parts)
