@@ -32,12 +32,16 @@ DROPPED_NAMES = frozenset(
     " footer form login masthead menu modal nav navbar navigation newsletter notice notification outbrain pager pagination popup promo promotion"
     " related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget".split()
 )
+#: Names that an article or main element must have to be none of the page's own text.
+OTHER_ARTICLES = frozenset("comment comments reply replies related teaser sponsored advert advertisement promo".split())
 #: Elements whose recurring subtrees are templates even inside an article.
 CONTAINERS = frozenset("div section ul ol dl table figure header hgroup details center fieldset".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Classes such as ``with-sidebar`` tell what an element lies beside, not what it is.
+_ABOUT_OTHERS = re.compile(r"(?:with|without|has|no|is|not)[-_]", re.I)
 _HOST = re.compile(r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -147,7 +151,9 @@ def _names(attributes: str) -> frozenset[str]:
         elif kind == "hidden" or (kind == "aria-hidden" and value.lower() == "true"):
             out.add(":hidden")
         elif kind in ("class", "id"):
-            out.update(x.lower() for x in _NAME.findall(value))
+            for name in value.split():
+                if not _ABOUT_OTHERS.match(name):
+                    out.update(x.lower() for x in _NAME.findall(name))
     return frozenset(out)
 
 
@@ -173,6 +179,8 @@ def kept_blocks(page: Page) -> tuple[list[tuple[list[tuple[str, int]], int]], li
             gone[e] = True
         elif tag in ("html", "body") or (holds[e] and not inside[parent]):
             pass
+        elif mains[e]:
+            gone[e] = bool(names & OTHER_ARTICLES)
         elif tag == "header" or names & HEADER_NAMES:
             # The head of an article holds its heading; any other header is the site's.
             gone[e], heading_only[e] = not inside[parent], True
