@@ -339,6 +339,7 @@ HTML = [
     ("<article><h1>T &amp; x</h1><p>a <b>b</b>\n c<br>d<p>e<ul><li>1<li>2</ul><div class='share'>s</div><section id=comments>zz</section></article><footer>f</footer>", "T & x\na b c d\ne\n1\n2"),
     ("<div>hello <p>a < b</p> x &lt;p&gt;<script>var a='</p>'</script> y<!-- c --></div><div class='cookie-notice'>n</div><form>f</form>", "hello\na < b\nx <p> y"),
     ("<p title='a>b'>t</p><a href=\"x>y</a><p>z</p>", "t\ny\nz"), ("plain text", "plain text"), ("", ""), (None, ""), ("<p>un<closed", "un<closed"),
+    ("<main class=with-sidebar><p>a</p><div class='no-ads content'>b</div><div class=adBox>c</div></main><article class=comment>d</article>", "a\nb"),
     ("<header>site</header><main><header><h2>Head</h2><span>by</span></header>body</main>", "Head\nbody"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
 ]
 
