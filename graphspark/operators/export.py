@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from graphspark.plans.graph import CodeGraph
 
-NODE_COLOURS = {"File": "#4A90D9", "Function": "#7ED321", "Class": "#F5A623", "Variable": "#D0D0D0", "External": "#BD10E0", "TypeAlias": "#50E3C2"}
-EDGE_COLOURS = {"calls": "#D0021B", "reads": "#9B9B9B", "imports": "#4A90D9", "defines": "#417505"}
+# Colours of the DOT format.
+NODE_COLOURS = {"File": "#9E9E9E", "Function": "#4CAF50", "Class": "#2196F3", "Variable": "#FFC107", "External": "#FF5722", "TypeAlias": "#9C27B0"}
+EDGE_COLOURS = {"calls": "#E91E63", "reads": "#3F51B5", "imports": "#009688", "defines": "#795548"}
 NODE_KEYS = ("kind", "name", "scope")
 FORMATS = ("graphml", "dot", "json")
 

@@ -542,7 +542,7 @@ def _(g: CodeGraph) -> DataFrame:
 
 @query(
     "export_dot",
-    """SELECT '  "' || from_node || '" -> "' || to_node || '" [label="' || edge_type || '", color="' || CASE edge_type WHEN 'calls' THEN '#D0021B' WHEN 'reads' THEN '#9B9B9B' WHEN 'imports' THEN '#4A90D9' ELSE '#417505' END || '"];' AS line
+    """SELECT '  "' || from_node || '" -> "' || to_node || '" [label="' || edge_type || '", color="' || CASE edge_type WHEN 'calls' THEN '#E91E63' WHEN 'reads' THEN '#3F51B5' WHEN 'imports' THEN '#009688' ELSE '#795548' END || '"];' AS line
 FROM tg_edges WHERE edge_type IN ('calls', 'reads', 'imports', 'defines') AND from_node IN (SELECT id FROM tg_nodes) AND to_node IN (SELECT id FROM tg_nodes)""",
 )
 def _(g: CodeGraph) -> DataFrame:

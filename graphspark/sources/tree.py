@@ -17,7 +17,7 @@ from graphspark.schema import FILE
 from graphspark.sources.languages import detect_language
 
 # Folders that hold no sources of their own; folders that start with a dot are left out as well.
-PRUNED = frozenset("__pycache__ node_modules vendor venv env dist build target out coverage site-packages eggs bower_components third_party".split())
+PRUNED = frozenset("__pycache__ venv env node_modules build dist".split())
 
 
 def list_sources(root: str, language: str | None = None) -> list[str]:

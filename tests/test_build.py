@@ -26,6 +26,7 @@ TREE = {
     "srv/util.go": "package srv\nfunc helper(n int) int { return n }\n",
     "node_modules/x.js": "function no() {}",
     ".hidden/y.py": "def no(): pass",
+    "dist/z.py": "def no(): pass",
     "notes.txt": "text",
 }
 
