@@ -1,18 +1,32 @@
-"""Cutting the lineage of iterations."""
+"""Cutting the lineage of iterations, and keeping tables that many queries read.
+
+Both use the folder of ``spark.checkpoint.dir``, which all executors share and which outlives lost executors. Only where
+the session names no folder, as in tests, one is made.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
-
+from pyspark.sql import DataFrame, SparkSession
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` evaluated once into the folder of ``spark.checkpoint.dir``, which outlives lost executors.
 
-    Only where the session names no folder, as in tests, one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphspark-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` evaluated once; what reads it starts from the result."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet: readers take the columns and row groups they need."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

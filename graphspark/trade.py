@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphspark.operators.checkpoints import stored
 from graphspark.plans.graph import CodeGraph
 
 TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -85,6 +86,10 @@ UNION ALL SELECT 'e'||id,'decorates',id,id,location,'@'||lower(seg),'{"decorator
 }
 
 
+#: Views that several branches of later ones read.
+REUSED = ("tg_cust", "tg_supp", "tg_li")
+
+
 def with_views(query: str) -> str:
     """The query behind the definitions of all views; one that starts with a comma goes on with definitions."""
     return "WITH " + ",\n".join(f"{name} AS ({sql.strip()})" for name, sql in VIEWS.items()) + "\n" + query.strip()
@@ -94,7 +99,7 @@ _kept: dict[tuple[str, str], CodeGraph] = {}
 
 
 def trade_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    """The graph over the tables in a folder; nodes and edges are kept for the queries of the session that follow."""
+    """The graph over the tables in a folder; nodes and edges are stored for the queries of the session that follow."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
         sources = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
@@ -103,8 +108,10 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
             # Names in the text are arguments here, so nothing is registered in the session's catalog.
             used = {n: df for n, df in frames.items() if _mentions(sql, n)}
             frames[name] = spark.sql(_braced(sql, used), **used)
-        nodes = frames["tg_nodes"].withColumns({"end_location": F.col("location"), "source_hash": F.lit("")}).persist()
-        edges = frames["tg_edges"].persist()
+            if name in REUSED:
+                frames[name] = stored(frames[name], name)
+        nodes = stored(frames["tg_nodes"].withColumns({"end_location": F.col("location"), "source_hash": F.lit("")}), "trade-nodes")
+        edges = stored(frames["tg_edges"], "trade-edges")
         transforms = spark.createDataFrame([], "id string, kind string, op string, op_node string, location string, inputs array<string>, outputs array<string>, branch string, code string")
         files = nodes.where("kind = 'File'").select(F.col("name").alias("path"), "source_hash")
         _kept[key] = CodeGraph(nodes, edges, transforms, files)
