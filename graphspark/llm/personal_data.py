@@ -55,7 +55,7 @@ PROPOSED = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone_local": r"(?<![0-9+(.-])(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "address": rf"(?<![0-9A-Za-z.])[0-9]{{1,5}} (?:[A-Z][a-z]++ ){{1,3}}(?:{'|'.join(STREETS)})(?![A-Za-z])",
-    "name": rf"(?<![A-Za-z])(?:(?:{'|'.join(TITLES)})\.? [A-Z][a-z]++(?: [A-Z][a-z]++)?|(?:{'|'.join(GIVEN_NAMES)}) [A-Z][a-z]++)",
+    "name": rf"(?<![A-Za-z])(?=[A-Z])(?:(?:{'|'.join(TITLES)})\.? [A-Z][a-z]++(?: [A-Z][a-z]++)?|(?:{'|'.join(GIVEN_NAMES)}) [A-Z][a-z]++)",
 }
 _SPAN = "array<struct<start:int,end:int,match:string>>"
 
@@ -218,7 +218,11 @@ def _with_candidates(docs: DataFrame, text: str) -> DataFrame:
     df = docs.withColumn("_text", body)
     for kind, spans in base_spans(F.col("_text")).items():
         df = df.withColumn(f"_{kind}", spans)
-    df = df.withColumn("_proposed", located(F.col("_text"), "|".join(PROPOSED.values())))
+    # A spelled-out address has a "dot"; texts without one are spared its pattern, which starts to match at every word.
+    # The other patterns start with a capital, a digit or a bracket, which is looked at first.
+    whole = "|".join(PROPOSED.values())
+    rest = "(?=[A-Z0-9(])(?:" + "|".join(p for k, p in PROPOSED.items() if k != "email_spelled") + ")"
+    df = df.withColumn("_proposed", F.when(F.contains("_text", F.lit("dot")), located(F.col("_text"), whole)).otherwise(located(F.col("_text"), rest)))
 
     def candidates(kind: str) -> Column:
         return F.transform(f"_{kind}", lambda s: candidate(F.col("_text"), F.lit(kind), s))
