@@ -1,9 +1,9 @@
-"""Near-duplicate classes by ProbMinHash signatures over weighted word shingles, banding and exact verification.
+"""Near-duplicate classes by ProbMinHash signatures over word shingles, banding and exact verification.
 
-A document is the multiset of its runs of five words. Shingle ``s`` with weight ``w`` (one plus the logarithm of its
-count) sends arrivals of a Poisson process of rate ``w``, each to a random register; a register keeps the shingle that
-arrived first. Two documents agree in a register with the probability Jaccard similarity of their weights. Arrivals of a
-shingle end as soon as they come later than the latest register of the document, so long documents cost about one arrival
+A document is the set of its runs of five words. Shingle ``s`` with weight ``w`` sends arrivals of a Poisson process of
+rate ``w``, each to a random register; a register keeps the shingle that arrived first. Two documents agree in a register
+with the probability Jaccard similarity of their weights. Every shingle has weight one here, however often it occurs, so
+that is the Jaccard similarity of the sets, the one that pairs are verified by. Arrivals of a shingle end as soon as they come later than the latest register of the document, so long documents cost about one arrival
 a shingle. Registers in bands give buckets; in a bucket every document is compared with one leader. What is alike by
 signature and still in different components after that is compared text by text, all pairs in memory, so no link that
 banding finds is lost; but only links that join components come out, never all pairs of a group.
@@ -68,12 +68,12 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return text[order][first], value[order][first], np.diff(np.append(at, len(own)))
 
 
-def signatures(n_texts: int, text: np.ndarray, value: np.ndarray, count: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+def signatures(n_texts: int, text: np.ndarray, value: np.ndarray, weight: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """For every text the shingle that came first in each register."""
     first = np.full(n_texts * registers, np.inf)
     holder = np.zeros(n_texts * registers, dtype=np.uint64)
     latest = np.full(n_texts, np.inf)
-    rate = 1.0 + np.log(count)
+    rate = weight.astype(np.float64)
     state, time = value, np.zeros(len(value))
     while len(state):
         state = state + np.uint64(0x9E3779B97F4A7C15)
@@ -127,10 +127,10 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                         seen.add(d)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                of, value, count = shingles(texts.filter(pa.array(new)))
+                of, value, _ = shingles(texts.filter(pa.array(new)))
                 at, n = np.flatnonzero(new), np.bincount(of, minlength=int(new.sum()))
                 full = n > 0
-                holder = signatures(len(at), of, value, count)
+                holder = signatures(len(at), of, value, np.ones(len(value)))
                 short = (holder & np.uint64(0xFFFF)).astype(np.uint16)
                 keys = band_keys(holder)
                 size = np.zeros(len(digests), dtype=np.int64)

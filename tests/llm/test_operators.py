@@ -230,6 +230,20 @@ def test_registers_estimate_similarity():
     assert abs((holder[0] == holder[1]).mean() - near_dedup.jaccard(texts[:1], texts[1:])[0]) < 0.05
 
 
+def test_repeated_lines_do_not_hide_a_copy(spark):
+    def text(d, times):
+        lines = [" ".join(f"d{d}w{k}x{j}" for j in range(8)) for k in range(40)]
+        return "\n".join(line for k, line in enumerate(lines) for _ in range(times if k < 8 else 1))
+
+    rows = [(2 * d + k, text(d, times)) for d in range(12) for k, times in enumerate((2, 1000))]
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    members = defaultdict(list)
+    for r in got:
+        members[r.class_id].append(str(r.doc_id))
+    assert sorted(sorted(m) for m in members.values()) == brute_classes(rows)
+    assert len(members) == 12
+
+
 def test_common_shingles():
     of, value = np.array([0, 0, 0, 1, 1, 2]), np.array([5, 6, 7, 6, 7, 9], dtype=np.uint64)
     assert near_dedup.common_shingles(of, value, np.array([0, 2]), np.array([1, 2]), width=2).tolist() == [[2, 0], [0, 1]]
