@@ -349,6 +349,29 @@ def test_quality(spark, small_dir, docs, odd, none):
     assert [r.kept for r in untrained] == [bool(r.text) for r in untrained]
 
 
+def test_thresholds_cover_all_trusted_documents(spark):
+    rng = np.random.default_rng(3)
+    word = lambda letters: "".join(rng.choice(list(letters), 4))
+    rows = [(k, " ".join(word("abc" if k % 10 else "pqrstuvwxyz") for _ in range(60)), "aa" if k % 10 else "zz") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    got = kneser_ney.judge(docs, labels, trusted=50).collect()
+    limits = {r.lang: r.threshold for r in got}
+    assert len(got) == len(rows) and limits["zz"] > 1.2 * limits["aa"]  # a language of 90 documents has its own threshold
+    for name in ("aa", "zz"):
+        own = [r for r in got if r.lang == name]
+        assert {r.threshold for r in own} == {limits[name]} and 0.97 * len(own) <= sum(r.kept for r in own) < len(own)
+
+
+def test_quantiles_are_exact(spark):
+    values = np.random.default_rng(4).normal(3, 0.4, 500)
+    rows = [("a" if k % 3 else "b" if k % 2 else None, float(round(v, 3))) for k, v in enumerate(values)] + [("c", 9.0)] * 3
+    found = kneser_ney.quantiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", 0.995, 50)
+    assert set(found) == {"a", "b", None}
+    for name in found:
+        assert math.isclose(found[name], np.quantile([v for g, v in rows if name in (g, None)], 0.995))
+
+
 HTML = [
     ("<article><h1>T &amp; x</h1><p>a <b>b</b>\n c<br>d<p>e<ul><li>1<li>2</ul><div class='share'>s</div><section id=comments>zz</section></article><footer>f</footer>", "T & x\na b c d\ne\n1\n2"),
     ("<div>hello <p>a < b</p> x &lt;p&gt;<script>var a='</p>'</script> y<!-- c --></div><div class='cookie-notice'>n</div><form>f</form>", "hello\na < b\nx <p> y"),
