@@ -3,6 +3,7 @@
 Element subtrees are hashed bottom-up and counted per host in Spark; a subtree that recurs on many pages of its host is a
 template and goes. What names itself (nav, footer, form, ``class="ad"``, comments ...) goes at once, wherever it recurs.
 Paragraphs and headings inside an article are never taken for templates: copies of an article on one host keep theirs.
+What lies outside the article and names itself nothing stays unless it recurs, loose text of a page too.
 """
 
 from __future__ import annotations
@@ -162,8 +163,8 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def kept_blocks(page: Page) -> tuple[list[tuple[list[tuple[str, int]], int]], list[bool]]:
-    """Blocks of the main text after all that names itself otherwise is gone, and whether elements can be templates."""
+def kept_blocks(page: Page) -> tuple[list[list[tuple[str, int]]], list[bool], list[bool]]:
+    """Blocks after all that names itself as no text of the page is gone; whether elements can be templates; whether they are inside an article."""
     n = len(page.tags)
     holds = [False] * n  # an article or main element inside
     mains = [t in ("article", "main") or ":main" in names for t, names in zip(page.tags, page.names, strict=True)]
@@ -189,11 +190,12 @@ def kept_blocks(page: Page) -> tuple[list[tuple[list[tuple[str, int]], int]], li
     main = any(m and not g for m, g in zip(mains, gone, strict=True))
     out = []
     for block in page.blocks:
-        rest = [(t, e) for t, e in block if not gone[e] and (inside[e] or not main) and (not heading_only[e] or _within(page, e, HEADINGS))]
+        rest = [(t, e) for t, e in block if not gone[e] and (not heading_only[e] or _within(page, e, HEADINGS))]
         if rest and any(not t.isspace() for t, _ in rest if t):
             out.append(rest)
-    template = [e > 0 and not mains[e] and page.tags[e] not in ("html", "body") and (page.tags[e] in CONTAINERS if main else page.tags[e] in BLOCK) for e in range(n)]
-    return out, template
+    # What an article is in is no template as a whole.
+    template = [e > 0 and not mains[e] and not (main and holds[e]) and page.tags[e] not in ("html", "body") and page.tags[e] in (CONTAINERS if inside[e] else BLOCK) for e in range(n)]
+    return out, template, inside
 
 
 def _within(page: Page, e: int, tags: frozenset[str]) -> bool:
@@ -209,7 +211,7 @@ def blocks_and_keys(url: str | None, source: str | None) -> list[tuple[str, list
     import xxhash
 
     page = parse(source or "")
-    blocks, template = kept_blocks(page)
+    blocks, template, inside = kept_blocks(page)
     texts = [" ".join("".join(t for t, _ in block).split()) for block in blocks]
     chains = []
     for block in blocks:
@@ -233,7 +235,14 @@ def blocks_and_keys(url: str | None, source: str | None) -> list[tuple[str, list
                 hashers[e] = xxhash.xxh3_64(f"{page.tags[e]} {' '.join(sorted(page.names[e]))}", seed=seed)
             hashers[e].update(f"\n{text}")
     keys = {e: (h.intdigest() ^ (1 << 63)) - (1 << 63) for e, h in hashers.items()}
-    return [(text, [keys[e] for e in chain]) for text, chain in zip(texts, chains, strict=True) if text]
+    out = []
+    for text, block, chain in zip(texts, blocks, chains, strict=True):
+        own = [keys[e] for e in chain]
+        if not own and not inside[block[0][1]]:  # loose text is a subtree by itself
+            own = [(xxhash.xxh3_64_intdigest(f"#text\n{text}", seed=seed) ^ (1 << 63)) - (1 << 63)]
+        if text:
+            out.append((text, own))
+    return out
 
 
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", source: str = "html", min_pages: int = 5, share: float = 0.1) -> DataFrame:

@@ -397,6 +397,13 @@ def test_templates_go_by_host(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_recurrence_decides_outside_the_article(spark):
+    page = "<body><a href=/>Home</a><div class=wrap><div><p>All offers</p></div><article><p>Text {0}</p></article><div><p>Errata {0}</p></div></div>See also</body>"
+    rows = [(i, f"http://h.com/{i}", page.format(i)) for i in range(20)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Text {i}\nErrata {i}" for i in range(20)}
+
+
 def test_deep_nesting_and_long_pages():
     assert "\n".join(t for t, _ in html_text.blocks_and_keys(None, "<div>" * 3000 + "x" + "</div>" * 3000)) == "x"
     assert len(html_text.blocks_and_keys(None, "<p>word</p>" * 20000)) == 20000
