@@ -1,7 +1,7 @@
 """Main text of web pages: site template removal on top of what the markup says about itself.
 
-Element subtrees are hashed bottom-up and counted per host in Spark; a subtree that recurs on many pages of its host is a
-template and goes. What names itself (nav, footer, form, ``class="ad"``, comments ...) goes at once, wherever it recurs.
+Element subtrees are hashed bottom-up and counted per host in Spark; a subtree that recurs beside many different main texts
+of its host is a template and goes, however large the host. What names itself (nav, footer, form, ``class="ad"``, comments ...) goes at once, wherever it recurs.
 Paragraphs and headings inside an article are never taken for templates: copies of an article on one host keep theirs.
 What lies outside the article and names itself nothing stays unless it recurs, loose text of a page too.
 """
@@ -35,7 +35,7 @@ DROPPED_NAMES = frozenset(
 )
 #: Names that an article or main element must have to be none of the page's own text.
 OTHER_ARTICLES = frozenset("comment comments reply replies related teaser sponsored advert advertisement promo".split())
-#: Elements whose recurring subtrees are templates even inside an article.
+#: Elements whose recurring subtrees are templates even inside an article, and by a count alone on pages without one.
 CONTAINERS = frozenset("div section ul ol dl table figure header hgroup details center fieldset".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+(?:>|\Z)", re.S)
@@ -207,7 +207,17 @@ def _within(page: Page, e: int, tags: frozenset[str]) -> bool:
 
 
 def blocks_and_keys(url: str | None, source: str | None) -> list[tuple[str, list[int]]]:
-    """The blocks that remain, each with the keys of the subtrees that hold it and may be templates, from 64-bit hashes."""
+    """The blocks that remain, each with the keys of the subtrees that hold it and may be templates."""
+    return read_page(url, source)[0]
+
+
+def _key(hash64: int, small: bool = False) -> int:
+    """A hash as a signed number; the lowest bit tells the keys of small pieces (items, cells, paragraphs) from others."""
+    return (((hash64 & ~1) | small) ^ (1 << 63)) - (1 << 63)
+
+
+def read_page(url: str | None, source: str | None) -> tuple[list[tuple[str, list[int]]], int]:
+    """``blocks_and_keys`` and a hash of the main text: that inside articles, of a page without one all that remains."""
     import xxhash
 
     page = parse(source or "")
@@ -234,28 +244,32 @@ def blocks_and_keys(url: str | None, source: str | None) -> list[tuple[str, list
             if e not in hashers:
                 hashers[e] = xxhash.xxh3_64(f"{page.tags[e]} {' '.join(sorted(page.names[e]))}", seed=seed)
             hashers[e].update(f"\n{text}")
-    keys = {e: (h.intdigest() ^ (1 << 63)) - (1 << 63) for e, h in hashers.items()}
+    main = any(inside[block[0][1]] for block in blocks)
+    keys = {e: _key(h.intdigest(), not main and page.tags[e] not in CONTAINERS) for e, h in hashers.items()}
     out = []
     for text, block, chain in zip(texts, blocks, chains, strict=True):
         own = [keys[e] for e in chain]
         if not own and not inside[block[0][1]]:  # loose text is a subtree by itself
-            own = [(xxhash.xxh3_64_intdigest(f"#text\n{text}", seed=seed) ^ (1 << 63)) - (1 << 63)]
+            own = [_key(xxhash.xxh3_64_intdigest(f"#text\n{text}", seed=seed), not main)]
         if text:
             out.append((text, own))
-    return out
+    own_text = "\n".join(text for text, block in zip(texts, blocks, strict=True) if inside[block[0][1]] or not main)
+    return out, _key(xxhash.xxh3_64_intdigest(own_text))
 
 
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", source: str = "html", min_pages: int = 5, share: float = 0.1) -> DataFrame:
     """The key, the url, ``text`` and ``n_chars`` of every row.
 
     Null or empty pages give an empty text; a null url counts as the host without a name. Repeated rows stay, each with its
-    text. A subtree is a template if it is on ``min_pages`` pages of its host and on at least ``share`` of them.
+    text. A subtree is a template if it is on pages of its host with ``min_pages`` different main texts, so copies of a page
+    keep theirs. Items, cells, paragraphs and loose text of pages without an article, where a short one may recur by
+    chance, must also be on at least ``share`` of the host's pages. Less than ``min_pages`` pages of a host tell nothing.
 
     Pages without a subtree that could be a template are done where they are read. Of the others only the remaining
     blocks are shuffled, to meet the keys of their templates.
     """
     three = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(source).alias("html"))
-    shape = "key {0}, url string, host long, page long, blocks array<struct<text:string,keys:array<long>>>, open boolean".format(dict(three.dtypes)["key"])
+    shape = "key {0}, url string, host long, page long, main long, blocks array<struct<text:string,keys:array<long>>>, open boolean".format(dict(three.dtypes)["key"])
     key_type = three.schema["key"].dataType
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,16 +282,17 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", source:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 urls, sources = part.column(1).to_pylist(), part.column(2).to_pylist()
-                found = [blocks_and_keys(u, s) for u, s in zip(urls, sources, strict=True)]
+                found = [read_page(u, s) for u, s in zip(urls, sources, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).cast(to_arrow_type(key_type)), part.column(1).cast(pa.string()),
                         pa.array([signed(xxhash.xxh3_64_intdigest(host_of(u))) for u in urls], pa.int64()),
                         pa.array([signed(xxhash.xxh3_64_intdigest(f"{u}\n{s}")) for u, s in zip(urls, sources, strict=True)], pa.int64()),
-                        pa.array([[{"text": t, "keys": k} for t, k in blocks] for blocks in found], block),
-                        pa.array([any(k for _, k in blocks) for blocks in found]),
+                        pa.array([main for _, main in found], pa.int64()),
+                        pa.array([[{"text": t, "keys": k} for t, k in blocks] for blocks, _ in found], block),
+                        pa.array([any(k for _, k in blocks) for blocks, _ in found]),
                     ],
-                    ["key", "url", "host", "page", "blocks", "open"],
+                    ["key", "url", "host", "page", "main", "blocks", "open"],
                 )
 
     parsed = three.mapInArrow(read, shape)
@@ -286,11 +301,13 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", source:
     plain = parsed.where("NOT open").withColumn("text", text(F.col("blocks")))
 
     opened = parsed.where("open")
-    subtrees = opened.select("host", "key", "page", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["keys"])))).alias("subtree"))
+    subtrees = opened.select("host", "key", "page", "main", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["keys"])))).alias("subtree"))
     of_host = pages.select(F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), _HOST.pattern, 1)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("pages"))
     host_keys = of_host.mapInArrow(_host_keys, "host long, pages long")
-    counted = subtrees.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    templates = counted.join(host_keys, "host").where(F.col("n") >= share * F.col("pages")).select("subtree")
+    beside = subtrees.groupBy("host", "subtree", "main").agg(F.count(F.lit(1)).alias("n"))
+    counted = beside.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n")).where(F.col("texts") >= min_pages)
+    small = F.col("subtree").bitwiseAND(F.lit(1)) == 1
+    templates = counted.join(host_keys, "host").where(~small | (F.col("n") >= share * F.col("pages"))).select("subtree")
     gone = subtrees.join(templates, "subtree", "left_semi").groupBy(F.col("key").alias("_key"), F.col("page").alias("_page")).agg(F.collect_set("subtree").alias("gone"))
     joined = opened.join(gone, opened["key"].eqNullSafe(gone["_key"]) & (opened["page"] == gone["_page"]), "left")
     left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["keys"], F.coalesce(F.col("gone"), F.array().cast("array<long>"))))

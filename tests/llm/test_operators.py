@@ -404,6 +404,19 @@ def test_recurrence_decides_outside_the_article(spark):
     assert {r.page_id: r.text for r in got} == {i: f"Text {i}\nErrata {i}" for i in range(20)}
 
 
+def test_templates_go_by_different_main_texts(spark):
+    section = "<div><p>Part of the section</p></div>"
+    rows = [(i, f"http://big.com/{i}", f"{section if i % 20 == 0 else ''}<article><p>Text {i}</p></article>") for i in range(200)]
+    rows += [(1000 + i, f"http://big.com/a{i}", f"<div>Short note</div><table><tr><td>Yes<td>Value {i}</table>" if i < 6 else f"<p>Plain {i}</p>") for i in range(100)]
+    rows += [(2000 + i, f"http://few.com/{i}", "<article><h1>Copy</h1><section>Its body</section></article>") for i in range(8)]
+    rows += [(2100 + i, f"http://few.com/b{i}", f"<article><section>Same note</section><p>Other {i}</p></article>") for i in range(8)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    text = {r.page_id: r.text for r in got}
+    assert len(got) == len(rows) and all(text[i] == f"Text {i}" for i in range(200))
+    assert all(text[1000 + i] == (f"Yes\nValue {i}" if i < 6 else f"Plain {i}") for i in range(100))
+    assert all(text[2000 + i] == "Copy\nIts body" and text[2100 + i] == f"Other {i}" for i in range(8))
+
+
 def test_deep_nesting_and_long_pages():
     assert "\n".join(t for t, _ in html_text.blocks_and_keys(None, "<div>" * 3000 + "x" + "</div>" * 3000)) == "x"
     assert len(html_text.blocks_and_keys(None, "<p>word</p>" * 20000)) == 20000
