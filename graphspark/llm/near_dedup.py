@@ -1,12 +1,19 @@
 """Near-duplicate classes by ProbMinHash signatures over word shingles, banding and exact verification.
 
-A document is the set of its runs of five words. Shingle ``s`` with weight ``w`` sends arrivals of a Poisson process of
+A document is its runs of five words with weights. Shingle ``s`` of weight ``w`` sends arrivals of a Poisson process of
 rate ``w``, each to a random register; a register keeps the shingle that arrived first. Two documents agree in a register
-with the probability Jaccard similarity of their weights. Every shingle has weight one here, however often it occurs, so
-that is the Jaccard similarity of the sets, the one that pairs are verified by. Arrivals of a shingle end as soon as they come later than the latest register of the document, so long documents cost about one arrival
-a shingle. Registers in bands give buckets; in a bucket every document is compared with one leader. What is alike by
-signature and still in different components after that is compared text by text, all pairs in memory, so no link that
-banding finds is lost; but only links that join components come out, never all pairs of a group.
+with the probability Jaccard similarity of their weights. Arrivals of a shingle end as soon as they come later than the
+latest register of the document, so long documents cost about one arrival a shingle.
+
+Two weightings are signed: ``set`` (every shingle weighs one; the similarity is then the Jaccard similarity of sets) and
+``count`` (a shingle weighs as often as it occurs). They differ only in texts that repeat a shingle, so only these get a
+second signature. A pair is linked if its exact similarity under one of the weightings asked for is high enough; what
+finds candidates, what drops them early and what verifies them are the same similarity.
+
+Registers in bands give buckets; in a bucket every document is compared with one leader. What is alike by signature and
+still in different components after that is compared text by text: the rows of the largest component of a group meet the
+others' rows, never each other, in blocks of bounded rows and bytes. No link that banding finds is lost, and only links
+that join components come out, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -20,14 +27,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphspark.llm.components import connected_components
-from graphspark.llm.storage import materialise
-from graphspark.llm.words import NOT_SPACE, slices, tokenise
+from graphspark.llm.storage import first_of, materialise, whole_row
+from graphspark.llm.words import NOT_SPACE, slices, tokenise, trim
 
 WORDS, SIMILARITY = 5, 0.8
+WEIGHTINGS = ("set", "count")
 BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
 #: What is in memory at a time; signatures of many short texts need more than the texts.
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 1000
+#: Rows and shingles of a block in which signatures or texts are compared with those of another.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
 #: Signatures that agree in fewer registers are not verified: six standard deviations under the similarity asked for.
 SKETCH_MARGIN = 6 * (0.16 / REGISTERS) ** 0.5
 _ODD = (np.random.default_rng(7).integers(1 << 62, size=64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -101,23 +111,60 @@ def band_keys(holder: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
 
 def jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Exact Jaccard similarity of the shingle sets of the texts in a row of ``a`` and ``b``."""
-    own = []
-    for texts in (a, b):
-        text, value, _ = shingles(texts)
-        own.append((text, mix(value + text.astype(np.uint64) * _ODD[9])))
-    (ta, ka), (tb, kb) = own
-    common = np.bincount(ta[np.isin(ka, kb)], minlength=len(a))
-    total = np.bincount(ta, minlength=len(a)) + np.bincount(tb, minlength=len(a)) - common
-    return np.divide(common, total, out=np.zeros(len(a)), where=total > 0)
+    return similarities(shingles(a), shingles(b), len(a), ("set",))
+
+
+def similarities(left: tuple, right: tuple, pairs: int, weightings: tuple[str, ...] = WEIGHTINGS) -> np.ndarray:
+    """The exact similarity of pairs, the greatest of the weightings, from the shingles (pair, hash, count) of both sides."""
+    (ta, va, ca), (tb, vb, cb) = left, right
+    keys = np.concatenate([mix(va + ta.astype(np.uint64) * _ODD[9]), mix(vb + tb.astype(np.uint64) * _ODD[9])])
+    _, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    pair = np.concatenate([ta, tb])[first]
+    x, y = np.zeros(len(first)), np.zeros(len(first))
+    x[place[: len(ta)]], y[place[len(ta) :]] = ca, cb
+    both = (x > 0) & (y > 0)
+    total = np.bincount(pair, minlength=pairs)
+    out = np.divide(np.bincount(pair[both], minlength=pairs), total, out=np.zeros(pairs), where=total > 0) if "set" in weightings else np.zeros(pairs)
+    if "count" in weightings:
+        # With equal weights throughout, both similarities are the same; the others are worked out shingle by shingle.
+        uneven = np.zeros(pairs, dtype=bool)
+        uneven[pair[(x > 1) | (y > 1)]] = True
+        if "set" in weightings:
+            asked = uneven[pair]
+            pair, x, y = pair[asked], x[asked], y[asked]
+        out = np.maximum(out, probability_jaccard(pair, x, y, pairs))
+    return out
+
 
+def probability_jaccard(pair: np.ndarray, x: np.ndarray, y: np.ndarray, pairs: int) -> np.ndarray:
+    """For every pair the sum over common elements i of 1 / sum over all j of max(x[j] / x[i], y[j] / y[i]).
 
-def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A row for each row: key, digest of the text, and where the digest is new to the task size, signature and buckets."""
+    Sorted by x / y, the maximum is the first quotient for all j up to i and the second for those behind it.
+    """
+    with np.errstate(divide="ignore"):
+        order = np.lexsort((-(x / y), pair))
+    pair, x, y = pair[order], x[order], y[order]
+    if not len(pair):
+        return np.zeros(pairs)
+    size = np.bincount(pair, minlength=pairs)
+    ends = np.cumsum(size)
+    sum_x, sum_y = np.append(0, np.cumsum(x)), np.append(0, np.cumsum(y))
+    before = sum_x[1:] - sum_x[(ends - size)[pair]]
+    behind = sum_y[ends[pair]] - sum_y[1:]
+    common = (x > 0) & (y > 0)
+    return np.bincount(pair[common], weights=1 / (before[common] / x[common] + behind[common] / y[common]), minlength=pairs)
+
+
+def _signed(docs: DataFrame, key: str, text: str, weightings: tuple[str, ...]) -> DataFrame:
+    """A row for each row: key, digest of the text, and where the digest is new to the task size, signatures and buckets.
+
+    A text in which no shingle recurs has the same signature under every weighting and carries it once.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            for part in slices(batch, text, SLICE_BYTES, SLICE_ROWS):
+            for part in slices(batch, "text", SLICE_BYTES, SLICE_ROWS):
                 texts = part.column(1)
                 digests = [hashlib.sha256((t or "").encode()).digest()[:16] for t in texts.to_pylist()]
                 new = np.zeros(len(digests), dtype=bool)
@@ -127,38 +174,56 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                         seen.add(d)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                of, value, _ = shingles(texts.filter(pa.array(new)))
+                of, value, count = shingles(texts.filter(pa.array(new)))
                 at, n = np.flatnonzero(new), np.bincount(of, minlength=int(new.sum()))
-                full = n > 0
-                holder = signatures(len(at), of, value, np.ones(len(value)))
-                short = (holder & np.uint64(0xFFFF)).astype(np.uint16)
-                keys = band_keys(holder)
-                size = np.zeros(len(digests), dtype=np.int64)
-                size[at] = n
                 buckets: list = [None] * len(digests)
                 sketch: list = [None] * len(digests)
-                for row, j, ok in zip(at.tolist(), range(len(at)), full.tolist(), strict=True):
+                holder = signatures(len(at), of, value, np.ones(len(value)) if weightings[0] == "set" else count)
+                short, keys = (holder & np.uint64(0xFFFF)).astype(np.uint16), band_keys(holder)
+                for row, j, ok in zip(at.tolist(), range(len(at)), (n > 0).tolist(), strict=True):
                     if ok:
                         buckets[row], sketch[row] = keys[j], short[j].tobytes()
+                uneven = np.unique(of[count > 1]) if len(weightings) > 1 else ()
+                if len(uneven):
+                    mine = np.isin(of, uneven)
+                    holder = signatures(len(uneven), np.searchsorted(uneven, of[mine]), value[mine], count[mine])
+                    short, keys = (holder & np.uint64(0xFFFF)).astype(np.uint16), band_keys(holder)
+                    for row, j in zip(at[uneven].tolist(), range(len(uneven)), strict=True):
+                        buckets[row], sketch[row] = np.union1d(buckets[row], keys[j]), sketch[row] + short[j].tobytes()
+                size = np.zeros(len(digests), dtype=np.int64)
+                size[at] = n
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(size), pa.array(sketch, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["key", "digest", "size", "sketch", "buckets"])
-        pa.default_memory_pool().release_unused()
+        trim()
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "key long, digest binary, size long, sketch binary, buckets array<long>")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, digest binary, size long, sketch binary, buckets array<long>")
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` whose sizes and signatures allow the similarity."""
+def _sketches(values: list[bytes], weightings: tuple[str, ...]) -> np.ndarray:
+    """Signatures as (row, weighting, register)."""
+    width = 2 * REGISTERS * len(weightings)
+    return np.frombuffer(b"".join(v if len(v) == width else v * len(weightings) for v in values), dtype=np.uint16).reshape(len(values), len(weightings), REGISTERS)
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float, weightings: tuple[str, ...]) -> np.ndarray:
+    """Whether signatures, and for sets their sizes, allow the similarity under one of the weightings."""
+    near = (a == b).mean(axis=-1) >= similarity - SKETCH_MARGIN
+    if weightings[0] == "set":
+        near[..., 0] &= np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - 1e-9
+    return near.any(axis=-1)
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, similarity: float, weightings: tuple[str, ...]) -> DataFrame:
+    """Pairs ``(a, b)`` whose signatures allow the similarity."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
-            near = (left == right).mean(axis=1) >= similarity - SKETCH_MARGIN
+            left, right = (_sketches(batch.column(k).to_pylist(), weightings) for k in (4, 5))
+            near = _may_link(left, right, batch.column(2).to_numpy(), batch.column(3).to_numpy(), similarity, weightings)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
 
     one = lambda k: nodes.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}"))
     joined = pairs.join(one("a"), "a").join(one("b"), "b")
-    fits = (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9)
-    return joined.where(fits).select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -169,13 +234,13 @@ def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text:
     return materialise(found.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, weightings: tuple[str, ...]) -> DataFrame:
     """The pairs whose texts have the similarity, from the texts themselves."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text_a", SLICE_BYTES, SLICE_ROWS):
-                near = jaccard(part.column(2), part.column(3)) >= similarity - 1e-12
+                near = similarities(shingles(part.column(2)), shingles(part.column(3)), part.num_rows, weightings) >= similarity - 1e-12
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(near))
 
     texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, key, text)
@@ -188,12 +253,25 @@ def digest(text: str) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256), 1, 32))
 
 
-def _dealt(rows: DataFrame, group: str, block: int) -> DataFrame:
-    """Rows of groups for ``groupBy(group, "i", "j")``: a group of more than ``block`` rows goes to all pairs of its blocks."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(group, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    placed = rows.join(sizes, group).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return spread.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks")
+def _dealt(rows: DataFrame, group: str, block_rows: int, block_shingles: int) -> DataFrame:
+    """Rows ``(group, node, component, size)`` for ``groupBy(group, "i", "j")``, marked ``left`` or not.
+
+    In a group of several components the rows outside the largest one (left) meet all rows; rows of the largest one never
+    meet each other. Both sides come in blocks of about ``block_rows`` rows and ``block_shingles`` shingles, so a row is
+    repeated once for each block of the other side: a large class with a few strangers moves once.
+    """
+    parts = rows.groupBy(group, "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
+    order = F.struct("n", -F.col("component"))
+    whole = parts.groupBy(group).agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max_by("component", order).alias("major"), F.max_by("n", order).alias("n_major"), F.max_by("weight", order).alias("w_major")).where("parts > 1")
+    blocks = lambda n, weight: F.greatest(F.ceil(n / block_rows), F.ceil(weight / block_shingles)).cast("int")
+    sized = whole.select(group, "major", blocks(F.col("n") - F.col("n_major"), F.col("weight") - F.col("w_major")).alias("lefts"), blocks(F.col("n"), F.col("weight")).alias("rights"))
+    placed = rows.join(sized, group)
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = placed.withColumn("j", mine("rights")).withColumn("i", every("lefts")).withColumn("left", F.lit(False))
+    left = placed.where("component <> major").withColumn("i", mine("lefts")).withColumn("j", every("rights")).withColumn("left", F.lit(True))
+    names = [group, "i", "j", "left", "node", "component"]
+    return right.select(*names).union(left.select(*names))
 
 
 class Forest:
@@ -213,50 +291,64 @@ class Forest:
         return pa.table({"a": pa.array([min(x) for x in self.links], pa.int64()), "b": pa.array([max(x) for x in self.links], pa.int64())})
 
 
-def _suspected(members: DataFrame, nodes: DataFrame, component: DataFrame, similarity: float, block: int = 2048) -> DataFrame:
+def _suspected(members: DataFrame, nodes: DataFrame, component: DataFrame, similarity: float, weightings: tuple[str, ...], block: int = BLOCK_ROWS) -> DataFrame:
     """Links that make trees of what signatures find alike in each bucket, across the components so far.
 
     All pairs of a bucket count, but comparing goes over signatures in memory, passes over what a tree already holds,
     and leaves at most one link for each document of a bucket.
     """
-    placed = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")).select("bucket", "node", "component")
-    rows = _dealt(placed, "bucket", block).join(nodes.select("node", "size", "sketch"), "node")
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        mine, node, comp, size = (table.column(c).to_numpy() for c in ("mine", "node", "component", "size"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-        forest, cols = Forest(node, comp), np.flatnonzero(mine == key[2].as_py())
-        for r in np.flatnonzero(mine == key[1].as_py()).tolist():
-            fit = cols[(forest.label[cols] != forest.label[r]) & (np.minimum(size[cols], size[r]) >= similarity * np.maximum(size[cols], size[r]) - 1e-9)]
+    placed = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")).select("bucket", "node", "component", F.lit(0).alias("size"))
+    rows = _dealt(materialise(placed, "near-placed"), "bucket", block, BLOCK_SHINGLES).join(nodes.select("node", "size", "sketch"), "node")
+
+    def run(_: tuple, table: pa.Table) -> pa.Table:
+        left, node, comp, size = (table.column(c).to_numpy() for c in ("left", "node", "component", "size"))
+        sketch = _sketches(table.column("sketch").to_pylist(), weightings)
+        forest, cols = Forest(node, comp), np.flatnonzero(~left)
+        for r in np.flatnonzero(left).tolist():
+            fit = cols[forest.label[cols] != forest.label[r]]
             if len(fit):
-                forest.join(r, fit[(sketch[fit] == sketch[r]).mean(axis=1) >= similarity - SKETCH_MARGIN])
+                forest.join(r, fit[_may_link(sketch[fit], sketch[r], size[fit], size[r], similarity, weightings)])
         return forest.table()
 
     return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def _proved(suspects: DataFrame, links: DataFrame, nodes: DataFrame, component: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, block: int = 1024) -> DataFrame:
-    """Exact links between the components that suspicion connects: all their texts are compared, trees of links come out."""
+def _proved(suspects: DataFrame, links: DataFrame, nodes: DataFrame, component: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, weightings: tuple[str, ...], block: int = BLOCK_ROWS, shingles_each: int = BLOCK_SHINGLES) -> DataFrame:
+    """Exact links between the components that suspicion connects, from their texts; trees of links come out."""
     cluster = connected_components(suspects.union(links)).withColumnRenamed("component", "cluster")
-    rows = cluster.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    dealt = materialise(_dealt(rows, "cluster", block), "near-clusters")
+    rows = cluster.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")).join(nodes.select("node", "size"), "node")
+    dealt = materialise(_dealt(materialise(rows, "near-rows"), "cluster", block, shingles_each), "near-clusters")
     texts = _texts(dealt.select("node").distinct(), nodes, docs, key, text)
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        mine, node, comp = (table.column(c).to_numpy() for c in ("mine", "node", "component"))
-        of, value, _ = shingles(table.column("text").combine_chunks())
+    def run(_: tuple, table: pa.Table) -> pa.Table:
+        left, node, comp = (table.column(c).to_numpy() for c in ("left", "node", "component"))
+        of, value, count = shingles(table.column("text").combine_chunks())
+        sketch = _sketches(table.column("sketch").to_pylist(), weightings)
         size = np.bincount(of, minlength=len(node))
-        i, j = (np.flatnonzero(mine == k.as_py()) for k in key[1:])
-        forest = Forest(node, comp)
-        for start in range(0, len(i), 256):
-            rows = i[start : start + 256]
-            common = common_shingles(of, value, rows, j)
-            near = common >= similarity * (size[rows][:, None] + size[j] - common) - 1e-9
+        uneven = np.bincount(of[count > 1], minlength=len(node)) > 0
+        order = np.argsort(of, kind="stable")
+        starts = np.cumsum(size) - size
+        one = lambda row: order[starts[row] : starts[row] + size[row]]
+        forest, cols = Forest(node, comp), np.flatnonzero(~left & (size > 0))
+        lefts = np.flatnonzero(left & (size > 0))
+        for start in range(0, len(lefts), 256):
+            rows = lefts[start : start + 256]
+            near = np.zeros((len(rows), len(cols)), dtype=bool)
+            if "set" in weightings:
+                common = common_shingles(of, value, rows, cols)
+                near = common >= similarity * (size[rows][:, None] + size[cols] - common) - 1e-9
             for r, hits in zip(rows.tolist(), near, strict=True):
-                forest.join(r, j[hits & (size[j] > 0)])
+                forest.join(r, cols[hits])
+                # Weighted by counts, text by text: only where counts differ from one, and never inside a component.
+                open_ = cols[(forest.label[cols] != forest.label[r]) & (uneven[cols] | uneven[r])] if "count" in weightings else cols[:0]
+                for c in open_[(sketch[open_, -1] == sketch[r, -1]).mean(axis=1) >= similarity - SKETCH_MARGIN].tolist():
+                    if forest.label[c] != forest.label[r]:
+                        a, b = ((np.zeros(len(x), np.int64), value[x], count[x]) for x in (one(r), one(c)))
+                        if similarities(a, b, 1, ("count",))[0] >= similarity - 1e-9:
+                            forest.join(r, np.array([c]))
         return forest.table()
 
-    ready = dealt.join(texts, "node").select("cluster", "i", "j", "mine", "node", "component", "text")
+    ready = dealt.join(texts, "node").join(nodes.select("node", "sketch"), "node").select("cluster", "i", "j", "left", "node", "component", "text", "sketch")
     return ready.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -282,17 +374,20 @@ def common_shingles(of: np.ndarray, value: np.ndarray, rows: np.ndarray, cols: n
     return out
 
 
-def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weightings: tuple[str, ...] = WEIGHTINGS) -> DataFrame:
     """One row for each row of ``docs``: the key, ``digest``, ``nth``, ``class_id``, ``class_size`` and ``kept``.
 
-    A class holds the documents that links of at least ``similarity`` connect: the Jaccard similarity of their sets of
-    shingles of five words. Equal texts are one node from the start, whatever their number; texts without words are
-    alike only if equal. ``class_id`` is the least key of the class (null keys count only where there is no other; a
-    class of null keys alone has a negative id), ``class_size`` its number of rows. ``kept`` marks the row with the
-    least key, of several such the one with the least digest; rows repeated with key and text are told apart by ``nth``,
-    from 1, and the first counts. Null texts count as empty. An empty table gives no rows.
+    A class holds the documents that links of at least ``similarity`` connect: the exact probability Jaccard similarity of
+    their shingles of five words, the greatest of the ``weightings`` (``set``, ``count`` or both, in this order). Equal
+    texts are one node from the start, whatever their number; texts without words are alike only if equal. ``class_id``
+    is the least key of the class (null keys count only where there is no other; a class of null keys alone has a
+    negative id), ``class_size`` its number of rows. ``kept`` marks the row with the least key, of several such the one
+    with the least digest; rows repeated with key and text are told apart by ``nth``, from 1, and the first counts. Keys
+    are integers. Null texts count as empty. An empty table gives no rows.
     """
-    signed = _signed(docs, key, text)
+    if tuple(weightings) not in (("set",), ("count",), WEIGHTINGS):
+        raise ValueError(f"weightings are {WEIGHTINGS} or one of them")
+    signed = _signed(docs, key, text, weightings)
     nodes = signed.groupBy("digest").agg(F.min("key").alias("least"), F.max("size").alias("size"), F.first("sketch", True).alias("sketch"), F.first("buckets", True).alias("buckets"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
@@ -300,11 +395,11 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similar
     shared = spread.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("bucket", "leader")
     members = materialise(spread.join(shared, "bucket"), "near-members")
     stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    alike = materialise(_alike(stars, nodes, similarity), "near-pairs")
-    links = materialise(_verified(alike, nodes, docs, key, text, similarity), "near-links")
+    alike = materialise(_alike(stars, nodes, similarity, weightings), "near-pairs")
+    links = materialise(_verified(alike, nodes, docs, key, text, similarity, weightings), "near-links")
     component = connected_components(links)
-    suspects = materialise(_suspected(members, nodes, component, similarity), "near-suspects")
-    component = connected_components(links.union(_proved(suspects, links, nodes, component, docs, key, text, similarity)))
+    suspects = materialise(_suspected(members, nodes, component, similarity, weightings), "near-suspects")
+    component = connected_components(links.union(_proved(suspects, links, nodes, component, docs, key, text, similarity, weightings)))
 
     placed = nodes.select("digest", "least", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = docs.select(F.col(key).cast("long").alias("key"), digest(text).alias("digest")).groupBy("key", "digest").agg(F.count(F.lit(1)).alias("copies"))
@@ -319,10 +414,13 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similar
     )
 
 
-def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each class, with the columns of ``docs``."""
-    kept = classes(docs, key=key, text=text, similarity=similarity).where("kept").select(F.col(key).alias("_key"), F.col("digest").alias("_kept"))
-    own = docs.withColumn("_digest", digest(text))
-    joined = own.join(kept, (own["_digest"] == kept["_kept"]) & own[key].cast("long").eqNullSafe(kept["_key"]))
-    once = joined.withColumn("_nth", F.expr(f"row_number() OVER (PARTITION BY _digest, `{key}` ORDER BY _digest)")).where("_nth = 1")
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weightings: tuple[str, ...] = WEIGHTINGS) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each class, with the columns of ``docs``, whatever their names.
+
+    Of rows that agree in key and text but not in other columns, the one with the least hash of all its columns stays.
+    An empty table gives an empty table.
+    """
+    kept = classes(docs, key=key, text=text, similarity=similarity, weightings=weightings).where("kept").select(F.col(key).alias("key"), "digest")
+    own = docs.select(whole_row(docs), F.col(key).cast("long").alias("own_key"), digest(text).alias("own_digest"))
+    joined = own.join(kept, own["own_key"].eqNullSafe(kept["key"]) & (own["own_digest"] == kept["digest"]))
+    return first_of(joined, "own_key", "own_digest").select("row.*")

@@ -5,17 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a fresh folder only where that is unset (tests, local mode)."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, a fresh folder in local mode and an error on a cluster."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = found.get() if found.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="graphspark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -36,3 +39,14 @@ def drop(df: DataFrame) -> None:
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct ``row``, out of the way of the names an operator uses; ``row.*`` brings them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def first_of(df: DataFrame, *keys: str) -> DataFrame:
+    """One row for each combination of the keys: the one whose ``row`` has the least hash."""
+    mark = F.xxhash64(F.col("row").cast("string"))
+    return df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(mark))).where("nth = 1").drop("nth")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,3 +82,12 @@ def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     np.cumsum(values, out=total[1:])
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]
+
+
+def trim() -> None:
+    """Gives memory that a finished task no longer needs back to the system; workers live on and serve other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library; its allocator decides
+        pass

@@ -20,13 +20,20 @@ ODD = [
     (5, "the quick brown fox jumps over the lazy dog and runs away from it all", "b"), (5, "the quick brown fox jumps over the lazy dog and runs away from it all", "b"),
     (None, "no key here", "a"), (None, None, None), (6, "a  b\tc", "c"), (7, "a b c", "c"), (8, "Ünïcödé 😀 中文 text", "a"), (9, "x" * 30000, "a"),
 ]
-SCHEMA = "doc_id long, text string, source string, size int, spans int, shard int, n int, key string"
+#: Columns whose names operators use inside; they must come back as they were.
+EXTRA = "size spans shard n key row nth digest copies kept _text _base _added _proposed _email _digest _copies _own _nth _copy _key _source _hash _chunk _bits _n _id _lang words index".split()
+SCHEMA = "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in EXTRA)
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
     """Odd rows, with extra columns whose names operators use inside."""
-    return spark.createDataFrame([(*r, 1, 2, 3, 4, "x") for r in ODD], SCHEMA)
+    return spark.createDataFrame([(*r, *range(len(EXTRA))) for r in ODD], SCHEMA)
+
+
+def untouched(df, *but):
+    """Whether all extra columns but some hold what the fixture gave them."""
+    return all(r[c] == k for r in df.collect() for k, c in enumerate(EXTRA) if c not in but)
 
 
 @pytest.fixture(scope="module")
@@ -178,12 +185,19 @@ def test_decontamination(spark, odd, none):
         decontaminate.contamination(odd, benchmark, max_items_bytes=10)
 
 
-def brute_classes(rows, similarity=0.8):
-    """Classes by Jaccard similarity of word shingles over all pairs."""
-    sets = []
-    for _, t in rows:
-        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+def counted_shingles(text):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def probability_jaccard(x, y):
+    both, all_ = x.keys() & y.keys(), x.keys() | y.keys()
+    return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in all_) for i in both)
+
+
+def brute_classes(rows, similarity=0.8, weightings=("set", "count")):
+    """Classes by the similarity of word shingles over all pairs, the greatest of the weightings."""
+    counts = [counted_shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -191,14 +205,27 @@ def brute_classes(rows, similarity=0.8):
             x = parent[x]
         return x
 
+    def alike(i, j):
+        x, y = counts[i], counts[j]
+        both = len(x.keys() & y.keys())
+        if (rows[i][1] or "") == (rows[j][1] or "") or "set" in weightings and both and both >= similarity * len(x.keys() | y.keys()) - 1e-12:
+            return True
+        return "count" in weightings and both > 0 and (max(x.values()) > 1 or max(y.values()) > 1 or weightings == ("count",)) and probability_jaccard(x, y) >= similarity - 1e-9
+
     for i in range(len(rows)):
         for j in range(i):
-            both = sets[i] & sets[j]
-            if (rows[i][1] or "") == (rows[j][1] or "") or both and len(both) >= similarity * len(sets[i] | sets[j]) - 1e-12:
+            if root(i) != root(j) and alike(i, j):
                 parent[max(root(i), root(j))] = min(root(i), root(j))
     return sorted(sorted(str(rows[i][0]) for i in range(len(rows)) if root(i) == r) for r in {root(i) for i in range(len(rows))})
 
 
+def class_members(df, **settings):
+    members = defaultdict(list)
+    for r in near_dedup.classes(df, **settings).collect():
+        members[r.class_id].append(str(r.doc_id))
+    return sorted(sorted(m) for m in members.values())
+
+
 def test_near_dedup(spark, docs, odd, none):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     words = rows[3][1].split()
@@ -215,19 +242,65 @@ def test_near_dedup(spark, docs, odd, none):
     assert all(r.class_size == len(members[r.class_id]) for r in got) and sum(r.kept for r in got) == len(members)
     assert all(r.doc_id == r.class_id for r in got if r.kept)
     assert near_dedup.keep_one(df).count() == len(members)
+    assert near_dedup.keep_one(none).count() == 0 and near_dedup.keep_one(none).columns == none.columns
     some = near_dedup.classes(odd).collect()
     assert len(some) == len(ODD) and sum(r.kept for r in some) == len({r.class_id for r in some}) == near_dedup.keep_one(odd).count()
-    assert near_dedup.keep_one(odd).columns == odd.columns and near_dedup.classes(none).count() == 0
+    assert near_dedup.keep_one(odd).columns == odd.columns and untouched(near_dedup.keep_one(odd)) and near_dedup.classes(none).count() == 0
+
+
+@pytest.mark.parametrize("weightings", [("set", "count"), ("set",), ("count",)])
+def test_near_dedup_links_by_the_similarity_it_signs(spark, weightings):
+    rows = []
+    for p in range(10):
+        words = [f"p{p}w{k}" for k in range(300)]
+        changed = [f"z{k}" if k in (30, 90, 150, 210) else w for k, w in enumerate(words)]
+        rows += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(changed + words[:20] * 200))]  # alike as sets
+    for p in range(5):
+        line = " ".join(f"c{p}x{k}" for k in range(12)) + "\n"
+        rows += [(100 + 2 * p + s, line * 100 + " ".join(f"u{p}{s}{k}" for k in range(60))) for s in (0, 1)]  # alike by counts
+    got = class_members(spark.createDataFrame(rows, "doc_id long, text string"), weightings=weightings)
+    assert got == brute_classes(rows, weightings=weightings) and len(got) == 10 * (1 + ("set" not in weightings)) + 5 * (1 + ("count" not in weightings))
+
+
+def test_near_dedup_joins_components_in_blocks(spark, monkeypatch):
+    """Classes of several components, dealt to blocks of two rows, come out as brute force has them."""
+    rng, rows = np.random.default_rng(2), []
+    base = [f"w{k}" for k in range(400)]
+    for n in range(40):
+        words = list(base)
+        for k in rng.choice(400, n % 14, replace=False):
+            words[k] = f"new{n}x{k}"
+        rows.append((n, " ".join(words)))
+    monkeypatch.setattr(near_dedup._suspected, "__defaults__", (2,))
+    monkeypatch.setattr(near_dedup._proved, "__defaults__", (2, 1000))
+    assert class_members(spark.createDataFrame(rows, "doc_id long, text string")) == brute_classes(rows)
+
+
+def test_dealt_blocks_hold_every_pair_across_components(spark):
+    rows = [("g", n, 1 if n < 30 else n, 10) for n in range(37)] + [("h", n, 5, 10) for n in range(100, 120)]
+    dealt = near_dedup._dealt(spark.createDataFrame(rows, "bucket string, node long, component long, size long"), "bucket", 4, 1000).collect()
+    tasks = defaultdict(lambda: ([], []))
+    for r in dealt:
+        tasks[r.bucket, r.i, r.j][not r.left].append(r.node)
+    met = {frozenset((a, b)) for lefts, rights in tasks.values() for a in lefts for b in rights if a != b}
+    component = {n: c for _, n, c, _ in rows}
+    assert {r.bucket for r in dealt} == {"g"} and met >= {frozenset((a, b)) for a in range(37) for b in range(a) if component[a] != component[b]}
+    assert sum(r.left for r in dealt) == 7 * len({j for g, _, j in tasks})
 
 
 def test_registers_estimate_similarity():
     import pyarrow as pa
 
     words = [f"w{k}" for k in range(400)]
-    texts = pa.array([" ".join(words), " ".join(words[:360])])
+    texts = pa.array([" ".join(words), " ".join(words[:360] + words[:40] * 9)])
     text, value, count = near_dedup.shingles(texts)
-    holder = near_dedup.signatures(2, text, value, count, registers=2000)
-    assert abs((holder[0] == holder[1]).mean() - near_dedup.jaccard(texts[:1], texts[1:])[0]) < 0.05
+    by_set = near_dedup.signatures(2, text, value, np.ones(len(value)), registers=2000)
+    by_count = near_dedup.signatures(2, text, value, count, registers=2000)
+    exact = probability_jaccard(*(counted_shingles(t) for t in texts.to_pylist()))
+    assert abs((by_set[0] == by_set[1]).mean() - near_dedup.jaccard(texts[:1], texts[1:])[0]) < 0.05
+    assert abs((by_count[0] == by_count[1]).mean() - exact) < 0.05
+    left, right = near_dedup.shingles(texts[:1]), near_dedup.shingles(texts[1:])
+    assert math.isclose(near_dedup.similarities(left, right, 1, ("count",))[0], exact)
 
 
 def test_repeated_lines_do_not_hide_a_copy(spark):
