@@ -1,151 +1,179 @@
 """Benchmark decontamination as a prefix-filtered set join of item windows against documents.
 
 A window is a run of up to 13 words of an item. A document that contains the window contains all its words, so a prefix
-of one word is enough: the window is looked up by the one that is rarest over all documents. Where that word occurs in
-a document, the length bound (the document has room for the window) and the positional bound (enough words before and
-after the occurrence) leave few places, and there the words are compared one by one.
+of one word is enough: the one that is rarest over all documents. Documents send each occurrence of a prefix word with
+the words around it, windows wait at their prefix word, and a join by that word brings both together. There the length
+bound (the document has room for the window) and the positional bound (enough words before and after the occurrence)
+leave few pairs, and these are compared word by word.
+
+Windows, vocabulary and counts stay tables, whatever the size of the benchmark; the only thing every task gets is a
+bitmap of fixed size that tells most words that are no prefix. Equal texts are known by their digest and searched once.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspark.llm.words import ALNUM, per_text, slices, tokenise
+from graphspark.llm.near_dedup import digest
+from graphspark.llm.storage import materialise, whole_row
+from graphspark.llm.words import ALNUM, hashes, slices, tokenise, trim
 
 WINDOW = 13
+#: Bits of the bitmap of words, as a power of two: 512 KB, which the driver gathers in at most 65,536 rows.
+FILTER_BITS = 22
+#: Words, as runs of bytes that are no ASCII separators; upper and lower case are counted alike.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+#: Occurrences in a batch on their way to the join.
+PLACES = 20_000
+
+
+def item_windows(items: DataFrame, size: int) -> DataFrame:
+    """``(window, n, item)`` of ``(item, text)`` rows: the words of each window, joined by spaces, and their number."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                tokens, counts = tokenise(part.column(1), ALNUM, lower=True)
+                words, at = tokens.to_pylist(), 0
+                for item, n in zip(part.column(0).to_pylist(), counts.tolist(), strict=True):
+                    own, at = words[at : at + n], at + n
+                    found = sorted({" ".join(own[k : k + size]) for k in range(max(1, n - size + 1))}) if n else []
+                    yield pa.RecordBatch.from_pydict({"window": pa.array(found, pa.string()), "n": pa.array([min(n, size)] * len(found), pa.int32()), "item": pa.array([item] * len(found), pa.string())})
+
+    return items.mapInArrow(cut, "window string, n int, item string").distinct()
+
 
+class WordFilter:
+    """A bitmap of word hashes: no for most words that are not in the table it comes from, yes for all that are."""
 
-def _words(texts: list[str | None]) -> list[list[str]]:
-    tokens, counts = tokenise(pa.array(texts, pa.string()), ALNUM, lower=True)
-    flat, at = tokens.to_pylist(), 0
-    out = []
-    for n in counts.tolist():
-        out.append(flat[at : at + n])
-        at += n
-    return out
+    def __init__(self, words: DataFrame):
+        bits = FILTER_BITS
 
+        def slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                place = hashes(batch.column(0)) & np.uint64((1 << bits) - 1)
+                yield pa.RecordBatch.from_pydict({"slot": pa.array((place >> np.uint64(6)).astype(np.int64)), "bits": pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))})
 
-def item_windows(items: list[tuple[str, str | None]], size: int = WINDOW) -> dict[tuple[str, ...], list[str]]:
-    """The distinct windows of the items, each with the ids of the items that have it."""
-    out: dict[tuple[str, ...], set[str]] = defaultdict(set)
-    for (item, _), words in zip(items, _words([t for _, t in items]), strict=True):
-        if words:
-            for k in range(max(1, len(words) - size + 1)):
-                out[tuple(words[k : k + size])].add(item)
-    return {w: sorted(ids) for w, ids in out.items()}
+        self.table = np.zeros(1 << bits - 6, dtype=np.int64)
+        for r in words.mapInArrow(slots, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).collect():
+            self.table[r.slot] = r.bits
 
+    def passes(self, words: pa.Array) -> np.ndarray:
+        place = hashes(words) & np.uint64(64 * len(self.table) - 1)
+        return (self.table.view(np.uint64)[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-def word_counts(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
-    """How often each word of the vocabulary occurs in all documents; tasks send one row for each word at most."""
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+def word_counts(docs: DataFrame, wanted: WordFilter) -> DataFrame:
+    """``(word, n)`` over ``(text)`` rows for the words that the filter lets pass, summed in each task first."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = pa.array(known.value, pa.large_string())
-        total = np.zeros(len(words) + 1, dtype=np.int64)
+        total: dict[str, int] = {}
+        out = lambda: pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, "text"):
                 coded = tokenise(part.column(0), ALNUM, lower=True)[0].dictionary_encode()
-                if len(coded):
-                    at = pc.fill_null(pc.index_in(coded.dictionary, words), len(words)).to_numpy(zero_copy_only=False)
-                    total += np.bincount(at[coded.indices.to_numpy(zero_copy_only=False)], minlength=len(total))
-        found = np.flatnonzero(total[:-1])
-        yield pa.RecordBatch.from_pydict({"word": pa.array(words.take(pa.array(found)).to_pylist(), pa.string()), "n": pa.array(total[found])})
-
-    rows = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {r.word: r.n for r in rows}
-
-
-class WindowIndex:
-    """Windows by their rarest word, for searching many documents at once."""
-
-    def __init__(self, windows: dict[tuple[str, ...], list[str]], counts: dict[str, int]):
-        self.items = sorted({i for ids in windows.values() for i in ids})
-        number = {i: n for n, i in enumerate(self.items)}
-        vocabulary = sorted({w for window in windows for w in window})
-        self.words = pa.array(vocabulary, pa.large_string())
-        code = {w: n for n, w in enumerate(vocabulary)}
-        self.by_word: dict[int, list[tuple[int, np.ndarray, list[int]]]] = defaultdict(list)
-        for window, ids in windows.items():
-            rarest = min(window, key=lambda w: (counts.get(w, 0), w))
-            self.by_word[code[rarest]].append((window.index(rarest), np.array([code[w] for w in window]), [number[i] for i in ids]))
-        self.prefix = np.zeros(len(vocabulary) + 1, dtype=bool)
-        self.prefix[list(self.by_word)] = True
-
-    def search(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-        """Words and hit words of each text, and the (text, item) pairs of occurring windows."""
-        tokens, counts = tokenise(texts, ALNUM, lower=True)
-        if not len(tokens):
-            return counts, np.zeros(len(counts), np.int64), []
-        coded = tokens.dictionary_encode()
-        at = pc.fill_null(pc.index_in(coded.dictionary, self.words), len(self.words)).to_numpy(zero_copy_only=False)
-        ids = at[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int64)
-        ends = np.cumsum(counts)
-        edge = np.zeros(len(ids) + 1, dtype=np.int64)
-        pairs: set[tuple[int, int]] = set()
-        places = np.flatnonzero(self.prefix[ids])
-        places = places[np.argsort(ids[places], kind="stable")]
-        words, first = np.unique(ids[places], return_index=True)
-        for word, a, b in zip(words.tolist(), first.tolist(), np.append(first, len(places))[1:].tolist(), strict=True):
-            where = places[a:b]
-            text = np.searchsorted(ends, where, side="right")
-            low, high = ends[text] - counts[text], ends[text]
-            for offset, window, items in self.by_word[word]:
-                start = where - offset
-                fits = (start >= low) & (start + len(window) <= high)
-                start, of = start[fits], text[fits]
-                for k, w in enumerate(window.tolist()):
-                    if not len(start):
-                        break
-                    same = ids[start + k] == w
-                    start, of = start[same], of[same]
-                if len(start):
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + len(window), -1)
-                    pairs.update((t, i) for t in np.unique(of).tolist() for i in items)
-        hit = np.cumsum(edge[:-1]) > 0
-        return counts, per_text(hit.astype(np.int64), counts), sorted(pairs)
-
-
-def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, share: int = 20, max_items_bytes: int = 64 << 20) -> DataFrame:
+                if not len(coded):
+                    continue
+                n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
+                mine = np.flatnonzero(shared.value.passes(coded.dictionary))
+                for word, k in zip(coded.dictionary.take(pa.array(mine)).to_pylist(), n[mine].tolist(), strict=True):
+                    total[word] = total.get(word, 0) + k
+                if len(total) > 500_000:
+                    yield out()
+                    total = {}
+        yield out()
+        trim()
+
+    return docs.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def prefix_index(windows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(word, offset, n, words, window)``: every distinct window under the first place of its rarest word."""
+    words = windows.select("window", "n").distinct().select("window", "n", F.posexplode(F.split("window", " ")).alias("offset", "word"))
+    counts = word_counts(docs, WordFilter(words.select("word").distinct()))
+    ranked = words.join(counts.withColumnRenamed("n", "occurs"), "word", "left")
+    rarest = ranked.groupBy("window", "n").agg(F.min(F.struct(F.coalesce("occurs", F.lit(0)).alias("occurs"), "word", "offset")).alias("x"))
+    return rarest.select("x.word", "x.offset", "n", F.split("window", " ").alias("words"), "window")
+
+
+def occurrences(docs: DataFrame, wanted: WordFilter, size: int) -> DataFrame:
+    """``(word, digest, place, around, middle)``: words that the filter lets pass, with the words around each.
+
+    ``around`` reaches ``size - 1`` words to both sides within the text; ``around[middle]``, from 0, is the word itself.
+    """
+    shared, most = docs.sparkSession.sparkContext.broadcast(wanted), PLACES
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                tokens, counts = tokenise(part.column(0), ALNUM, lower=True)
+                coded = tokens.dictionary_encode()
+                if not len(coded):
+                    continue
+                places = np.flatnonzero(shared.value.passes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)])
+                ends = np.cumsum(counts)
+                text = np.searchsorted(ends, places, side="right")
+                held = {}
+                for t in np.unique(text).tolist():
+                    mark = hashlib.sha256((part.column(0)[t].as_py() or "").encode()).digest()[:16]
+                    if mark not in seen:
+                        seen.add(mark)
+                        held[t] = mark
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                new = np.isin(text, list(held))
+                places, text = places[new], text[new]
+                for start in range(0, len(places), most):
+                    p, t = places[start : start + most], text[start : start + most]
+                    low, high = np.maximum(p - size + 1, ends[t] - counts[t]), np.minimum(p + size, ends[t])
+                    offsets = np.append(0, np.cumsum(high - low))
+                    index = np.arange(offsets[-1]) + np.repeat(low - offsets[:-1], high - low)
+                    around = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens.take(pa.array(index)).cast(pa.string()))
+                    yield pa.RecordBatch.from_arrays([tokens.take(pa.array(p)).cast(pa.string()), pa.array([held[k] for k in t.tolist()], pa.binary()), pa.array(p - (ends[t] - counts[t])), around, pa.array((p - low).astype(np.int32))], ["word", "digest", "place", "around", "middle"])
+        trim()
+
+    return docs.mapInArrow(run, "word string, digest binary, place long, around array<string>, middle int")
+
+
+def occurring_windows(texts: DataFrame, windows: DataFrame, size: int) -> DataFrame:
+    """``(digest, start, n, window)``: where which windows occur in the texts; ``start`` counts words from 0."""
+    index = materialise(prefix_index(windows, texts), "decontaminate-index")
+    places = occurrences(texts, WordFilter(index.select("word").distinct()), size)
+    fits = (F.col("middle") >= F.col("offset")) & (F.size("around") - F.col("middle") >= F.col("n") - F.col("offset"))
+    same = F.expr("CASE WHEN middle >= offset THEN slice(around, middle - offset + 1, n) = words ELSE false END")
+    found = places.join(index, "word").where(fits & same).select("digest", (F.col("place") - F.col("offset")).alias("start"), "n", "window")
+    return materialise(found.distinct(), "decontaminate-found")
+
+
+def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, share: int = 20) -> DataFrame:
     """Adds to every row what it holds of the items: ``n_words n_hit n_items items_sha256 contaminated``.
 
     A row is contaminated if ``n_hit > 0 and share * n_hit >= n_words``. Null and empty texts have no words and are clean.
-    Repeated rows each get their result. Items without words or without an id have no windows; repeated items count once.
-    Columns of these names are replaced; other columns stay.
-
-    The index of windows is broadcast, so the texts of the items are measured first; more than ``max_items_bytes`` of
-    them is an error that asks for calls with parts of the items.
+    Repeated rows each get their result. Items without words have no windows; repeated items count once; those without
+    an id count as one item, which the digest of ids leaves out. Columns of these names are replaced; other columns stay,
+    whatever their names. Empty tables of documents or items are fine.
     """
     added = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    kept = [c for c in docs.columns if c not in added]
-    asked = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
-    n_bytes = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if n_bytes > max_items_bytes:
-        raise ValueError(f"{n_bytes} bytes of items; at most {max_items_bytes} are broadcast: call this with parts of the items")
-    windows = item_windows([(r.item, r.text) for r in asked.collect()], size)
-    counts = word_counts(docs, text, sorted({w for window in windows for w in window})) if windows else {}
-    index = docs.sparkSession.sparkContext.broadcast((windows, counts))
-    schema = docs.select(*kept, *[F.lit(0).cast("long").alias(c) for c in added[:3]], F.lit("").alias(added[3]), F.lit(True).alias(added[4])).schema
-
-    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = WindowIndex(*index.value)
-        nothing = hashlib.sha256(b"").hexdigest()
-        for batch in batches:
-            for part in slices(batch, text):
-                n, hit, pairs = found.search(part.column(part.schema.get_field_index(text)))
-                of: dict[int, list[str]] = defaultdict(list)
-                for doc, item in pairs:
-                    of[doc].append(found.items[item])
-                digests = [hashlib.sha256(",".join(sorted(of[k])).encode()).hexdigest() if k in of else nothing for k in range(len(n))]
-                n_items = np.array([len(of.get(k, ())) for k in range(len(n))], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n.astype(np.int64)), pa.array(hit), pa.array(n_items), pa.array(digests, pa.string()), pa.array((hit > 0) & (share * hit >= n))], [*kept, *added])
-
-    return docs.select(*kept).mapInArrow(judge, schema)
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
+    asked = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL").distinct()
+    windows = materialise(item_windows(asked, size), "decontaminate-windows")
+    found = occurring_windows(docs.select(F.col(text).alias("text")), windows, size)
+
+    hits = found.select("digest", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("at")).distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n_hit"))
+    of_text = found.select("digest", "window").distinct().join(windows.select("window", "item"), "window").select("digest", "item").distinct()
+    names = of_text.groupBy("digest").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ",").cast("binary"), 256).alias("items_sha256"))
+    per_text = materialise(hits.join(names, "digest"), "decontaminate-texts").withColumnRenamed("digest", "hit_digest")
+
+    own = kept.select(whole_row(kept), digest(f"`{text}`").alias("own_digest"), F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    joined = own.join(per_text, F.col("own_digest") == F.col("hit_digest"), "left")
+    hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    nothing = F.lit(hashlib.sha256(b"").hexdigest())
+    return joined.select("row.*", "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", nothing).alias("items_sha256"), ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"))

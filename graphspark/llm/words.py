@@ -64,6 +64,13 @@ def tokenise(texts: pa.Array, word: np.ndarray, lower: bool = False) -> tuple[pa
     return string_array(kept, lengths), counts
 
 
+def hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings."""
+    import xxhash
+
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of ``rows`` rows at most whose texts hold about ``most`` bytes; a longer text comes alone."""
     if batch.num_rows == 0:

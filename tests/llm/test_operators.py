@@ -181,8 +181,25 @@ def test_decontamination(spark, odd, none):
     assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == Counter((k, *hits(t, items)) for k, t, _ in ODD)
     assert decontaminate.contamination(none, benchmark).count() == 0
     assert not any(r.contaminated for r in decontaminate.contamination(odd, benchmark.limit(0)).collect())
-    with pytest.raises(ValueError, match="bytes of items"):
-        decontaminate.contamination(odd, benchmark, max_items_bytes=10)
+    assert untouched(decontaminate.contamination(odd, benchmark))
+    nameless = [*items, (None, "jumps over"), (None, "x y z")]
+    rows = decontaminate.contamination(odd, spark.createDataFrame(nameless, "item_id long, text string")).collect()
+    assert {r.n_items for r in rows if r.doc_id == 0} == {hits(ODD[0][1], items)[2] + 1} and {r.items_sha256 for r in rows if r.doc_id == 0} == {hits(ODD[0][1], items)[3]}
+
+
+def test_decontamination_by_shuffled_joins_and_full_filters(spark, docs, monkeypatch):
+    """Windows of whole documents as items, more than a small bitmap can tell apart, without any broadcast join."""
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 8)
+    monkeypatch.setattr(decontaminate, "PLACES", 7)
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(40).collect()]
+    items = [(k, " ".join(t.split()[3 : 3 + 5 * k])) for k, t in rows[:25]] + [(99, "the"), (98, "the of"), (97, rows[30][1][:5000])]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted((k, *hits(t, items)) for k, t in rows)
+    assert sum(r.n_hit > 0 for r in got) > 10
 
 
 def counted_shingles(text):
