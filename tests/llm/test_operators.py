@@ -467,6 +467,9 @@ HTML = [
     ("<div>hello <p>a < b</p> x &lt;p&gt;<script>var a='</p>'</script> y<!-- c --></div><div class='cookie-notice'>n</div><form>f</form>", "hello\na < b\nx <p> y"),
     ("<p title='a>b'>t</p><a href=\"x>y</a><p>z</p>", "t\ny\nz"), ("plain text", "plain text"), ("", ""), (None, ""), ("<p>un<closed", "un<closed"),
     ("<main class=with-sidebar><p>a</p><div class='no-ads content'>b</div><div class=adBox>c</div></main><article class=comment>d</article>", "a\nb"),
+    ("<article><p>a</p><section id=\"related-work\"><p>b</p></section><div class=\"comment-policy-explained\">c</div><p class=\"alert\">d</p><p>e <math>x</math> <button>f</button> <span aria-hidden=true>g</span></p></article>", "a\nb\nc\nd\ne x f g"),
+    ("<div class=\"post share-enabled\"><p>whole body</p></div><div class='share-buttons'>s</div><div id=related-posts>r</div><button>b</button>", "whole body"),
+    ("<article><div class='ad-box'>x</div><div class=cookieNotice>y</div><section id=menu><h2>Menu</h2>dishes</section><div id=comments>z</div></article>", "Menu\ndishes"),
     ("<header>site</header><main><header><h2>Head</h2><span>by</span></header>body</main>", "Head\nbody"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
 ]
 
@@ -507,6 +510,49 @@ def test_templates_go_by_different_main_texts(spark):
     assert all(text[2000 + i] == "Copy\nIts body" and text[2100 + i] == f"Other {i}" for i in range(8))
 
 
+def test_counting_agrees_with_brute_force(spark):
+    """Whole subtrees, marked or not, per host: what recurs beside five different main texts goes."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(120):
+        host = f"h{i % 3}.com" if i < 90 else f"s{i}.com"
+        nav = f"<nav><a>Menu {rng.integers(4)}</a></nav>"
+        note = f"<div><b>Note</b> {rng.integers(12)}</div>"
+        rows.append((i, f"http://{host}/{i}", f"<body>{nav}{note}<article><p>Text {i % 40}</p><div>Box {rng.integers(9)}</div></article></body>"))
+    texts = defaultdict(set)
+    pieces = {i: [(x, re.search(r"//([^/]*)", u)[1]) for x in re.findall(r"<nav>.*?</nav>|<div>.*?</div>", h)] for i, u, h in rows}
+    kept = {i: [] for i, *_ in rows}
+    plain = lambda x: re.sub("<[^>]*>", "", x)
+    for i, _, h in rows:
+        for x in pieces[i]:
+            # The main text of a page is all in its article, its own box included.
+            texts[x].add((f"Text {i % 40}", plain(pieces[i][-1][0])))
+    for i, *_ in rows:
+        kept[i] = [f"Text {i % 40}" if k == 2 else plain(pieces[i][k if k < 2 else 2][0]) for k in (1, 2, 3) if k == 2 or len(texts[pieces[i][1 if k == 1 else 2]]) < 5]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: "\n".join(x) for i, x in kept.items()}
+    assert {r.page_id: (r.n_recurring, r.n_named) for r in got} == {i: (sum(len(texts[x]) >= 5 for x in pieces[i]), int(len(texts[pieces[i][0]]) < 5)) for i, *_ in rows}
+    assert sum(r.n_recurring for r in got) > 100
+
+
+def test_subtree_hashes_cover_the_whole_subtree():
+    import itertools
+
+    pages = ["<div><b>a</b>c</div>", "<div><i>a</i>c</div>", "<div>a<b>c</b></div>", "<div class=x><b>a</b>c</div>", "<div><b>a</b><b></b>c</div>"]
+    hashes = [html_text.subtree_hashes(html_text.parse(p), 1)[1] for p in pages]
+    assert all(a != b for a, b in itertools.combinations(hashes, 2))
+    assert html_text.subtree_hashes(html_text.parse("<div>\n<b id=k> a </b> c</div>"), 1)[1] == hashes[0]
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    began = time.process_time()
+    assert html_text.blocks_and_keys(None, "<a " * 200_000)[0][0].startswith("<a <a")
+    assert html_text.blocks_and_keys(None, "<a " * 200_000 + ">x")[0][0] == "x"
+    assert time.process_time() - began < 10
+
+
 def test_deep_nesting_and_long_pages():
     assert "\n".join(t for t, _ in html_text.blocks_and_keys(None, "<div>" * 3000 + "x" + "</div>" * 3000)) == "x"
     assert len(html_text.blocks_and_keys(None, "<p>word</p>" * 20000)) == 20000
