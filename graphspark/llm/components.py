@@ -28,3 +28,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if not changed:
             drop(both)
             return labels
+
+
+def merged_components(labels: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Components of a graph whose components ``labels`` are known, after ``edges`` more: only these, between labels, go round."""
+    pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
+    ends = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "node")
+    every = labels.unionByName(ends.join(labels, "node", "left_anti").withColumn("component", F.col("node")))
+    every = materialise(every, "labels")
+    at = lambda k, to: every.select(F.col("node").alias(k), F.col("component").alias(to))
+    between = pairs.join(at("x", "from"), "x").join(at("y", "to"), "y").where("from <> to").select("from", "to").distinct()
+    moved = connected_components(between, "from", "to").select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    return every.join(moved, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))

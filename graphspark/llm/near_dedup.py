@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphspark.llm.components import connected_components
+from graphspark.llm.components import connected_components, merged_components
 from graphspark.llm.storage import first_of, materialise, whole_row
 from graphspark.llm.words import NOT_SPACE, slices, tokenise, trim
 
@@ -36,8 +36,8 @@ BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
 #: What is in memory at a time; signatures of many short texts need more than the texts.
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 1000
-#: Rows and shingles of a block in which signatures or texts are compared with those of another.
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
+#: Rows of a block of signatures, rows and shingles of a block of texts, that are compared with those of another.
+SKETCH_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 2048, 512, 1 << 20
 #: Signatures that agree in fewer registers are not verified: six standard deviations under the similarity asked for.
 SKETCH_MARGIN = 6 * (0.16 / REGISTERS) ** 0.5
 _ODD = (np.random.default_rng(7).integers(1 << 62, size=64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -291,8 +291,8 @@ class Forest:
         return pa.table({"a": pa.array([min(x) for x in self.links], pa.int64()), "b": pa.array([max(x) for x in self.links], pa.int64())})
 
 
-def _suspected(members: DataFrame, nodes: DataFrame, component: DataFrame, similarity: float, weightings: tuple[str, ...], block: int = BLOCK_ROWS) -> DataFrame:
-    """Links that make trees of what signatures find alike in each bucket, across the components so far.
+def _suspected(members: DataFrame, nodes: DataFrame, component: DataFrame, similarity: float, weightings: tuple[str, ...], block: int = SKETCH_ROWS) -> DataFrame:
+    """Links that make trees of what signatures find alike in each bucket, across the clusters so far.
 
     All pairs of a bucket count, but comparing goes over signatures in memory, passes over what a tree already holds,
     and leaves at most one link for each document of a bucket.
@@ -313,10 +313,9 @@ def _suspected(members: DataFrame, nodes: DataFrame, component: DataFrame, simil
     return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def _proved(suspects: DataFrame, links: DataFrame, nodes: DataFrame, component: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, weightings: tuple[str, ...], block: int = BLOCK_ROWS, shingles_each: int = BLOCK_SHINGLES) -> DataFrame:
-    """Exact links between the components that suspicion connects, from their texts; trees of links come out."""
-    cluster = connected_components(suspects.union(links)).withColumnRenamed("component", "cluster")
-    rows = cluster.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")).join(nodes.select("node", "size"), "node")
+def _proved(cluster: DataFrame, nodes: DataFrame, component: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, weightings: tuple[str, ...], block: int = BLOCK_ROWS, shingles_each: int = BLOCK_SHINGLES) -> DataFrame:
+    """Exact links between the components inside each cluster of suspicion, from their texts; trees of links come out."""
+    rows = cluster.withColumnRenamed("component", "cluster").join(component, "node", "left").withColumn("component", F.coalesce("component", "node")).join(nodes.select("node", "size"), "node")
     dealt = materialise(_dealt(materialise(rows, "near-rows"), "cluster", block, shingles_each), "near-clusters")
     texts = _texts(dealt.select("node").distinct(), nodes, docs, key, text)
 
@@ -397,9 +396,11 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similar
     stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     alike = materialise(_alike(stars, nodes, similarity, weightings), "near-pairs")
     links = materialise(_verified(alike, nodes, docs, key, text, similarity, weightings), "near-links")
-    component = connected_components(links)
-    suspects = materialise(_suspected(members, nodes, component, similarity, weightings), "near-suspects")
-    component = connected_components(links.union(_proved(suspects, links, nodes, component, docs, key, text, similarity, weightings)))
+    # What leaders connect by signature is compared no more by signature; verified links are among these pairs.
+    cluster = connected_components(alike)
+    suspects = materialise(_suspected(members, nodes, cluster, similarity, weightings), "near-suspects")
+    cluster, component = materialise(merged_components(cluster, suspects), "near-cluster"), connected_components(links)
+    component = merged_components(component, materialise(_proved(cluster, nodes, component, docs, key, text, similarity, weightings), "near-proved"))
 
     placed = nodes.select("digest", "least", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = docs.select(F.col(key).cast("long").alias("key"), digest(text).alias("digest")).groupBy("key", "digest").agg(F.count(F.lit(1)).alias("copies"))

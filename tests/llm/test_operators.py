@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphspark.llm import decontaminate, deleted_interpolation, exact_dedup, html_text, kneser_ney, mixing, near_dedup, personal_data, sharding, token_counts
+from graphspark.llm import components, decontaminate, deleted_interpolation, exact_dedup, html_text, kneser_ney, mixing, near_dedup, personal_data, sharding, token_counts
 
 LONG = "lorem ipsum dolor " * 4000
 ODD = [
@@ -154,10 +154,10 @@ def test_personal_data(spark, odd, none):
 
 
 def test_reliabilities_follow_agreement():
-    right = [("name", (1, 1, 1, 0, 0), 2, 400), ("name", (-1, -1, -1, 0, 0), 2, 400), ("name", (1, 1, -1, 0, -1), 2, 40), ("name", (-1, -1, 1, 0, 1), 2, 40)]
+    right = [("name", (1, 1, 1, 0, 0, 0), 2, 0, 400), ("name", (-1, -1, -1, 0, 0, 0), 2, 0, 400), ("name", (1, 1, -1, 0, -1, 0), 2, 0, 40), ("name", (-1, -1, 1, 0, 1, 0), 2, 0, 40)]
     model = personal_data.fit(right)
-    assert model.reliability["strict"] > model.reliability["gazetteer"] > 0.5
-    assert model.votes["strict"] > 0 and model.votes["gazetteer"] > 0
+    assert model.reliability["form"] > model.reliability["gazetteer"] > 0.5
+    assert model.votes["form"] > 0 and model.votes["gazetteer"] > 0
 
 
 def hits(text, items):
@@ -293,6 +293,16 @@ def test_near_dedup_joins_components_in_blocks(spark, monkeypatch):
     assert class_members(spark.createDataFrame(rows, "doc_id long, text string")) == brute_classes(rows)
 
 
+def test_merged_components(spark):
+    rng = np.random.default_rng(8)
+    first, more = ([(int(a), int(b)) for a, b in rng.integers(0, 90, (n, 2)) if a != b] for n in (40, 25))
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    labels = components.merged_components(components.connected_components(frame(first)), frame(more))
+    whole = components.connected_components(frame(first + more))
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, whole.collect()))
+    assert components.merged_components(labels.limit(0), frame([])).count() == 0
+
+
 def test_dealt_blocks_hold_every_pair_across_components(spark):
     rows = [("g", n, 1 if n < 30 else n, 10) for n in range(37)] + [("h", n, 5, 10) for n in range(100, 120)]
     dealt = near_dedup._dealt(spark.createDataFrame(rows, "bucket string, node long, component long, size long"), "bucket", 4, 1000).collect()
