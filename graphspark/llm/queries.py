@@ -49,7 +49,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return personal_data.find(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=("doc_id",))
 
 
 OP6_SQL = r"""

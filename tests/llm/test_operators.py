@@ -151,6 +151,59 @@ def test_personal_data(spark, odd, none):
     [people] = [r for r in rows if r.text and "Smith" in r.text]
     assert {s.split(":")[0] for s in people.spans.split(",")} == {"name", "address", "ssn"}
     assert personal_data.find(odd).count() == len(ODD) and personal_data.find(none).count() == 0
+    assert untouched(personal_data.find(odd), "spans") and set(odd.columns) <= set(personal_data.find(odd).columns)
+
+
+def test_many_spans_in_one_text_take_linear_time(spark):
+    """A hundred thousand addresses, more than chunks of running sums, with proposals beside and across them."""
+    import time
+
+    text = " ".join(f"10.{k % 250}.{k // 250 % 250}.7 x" for k in range(100_000))
+    began = time.time()
+    [row] = personal_data.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), columns=("doc_id",)).collect()
+    assert row.n_ip == row.n_spans == 100_000 and row.asDict().keys() >= {"doc_id", "n_spans"} and "text" not in row.asDict()
+    assert row.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in base_spans(text)).encode()).hexdigest()
+    assert time.time() - began < 120
+
+
+def test_running_and_apart_agree_with_plain_loops(spark, monkeypatch):
+    import itertools
+
+    monkeypatch.setattr(personal_data, "CHUNK", 3)
+    rng = np.random.default_rng(6)
+    span = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+    rows = []
+    for n in range(30):
+        cuts = np.unique(rng.integers(0, 60, n)).tolist()
+        spans = [(a, b, "m", "", "") for a, b in zip(cuts[::2], cuts[1::2])]
+        others = [(int(a), int(a + k), "m", "", "") for a, k in zip(rng.integers(0, 60, n // 4), rng.integers(1, 9, n // 4))]
+        rows.append((n, spans, others, rng.integers(0, 9, n).tolist()))
+    df = spark.createDataFrame(rows, f"id int, spans {span}, others {span}, numbers array<int>")
+    for r in personal_data.apart(df, "spans", F.col("others")).collect():
+        _, spans, others, _ = rows[r.id]
+        assert [tuple(s) for s in r.spans] == [s for s in spans if not any(o[0] < s[1] and s[0] < o[1] for o in others)]
+    for r in df.select("numbers", personal_data.running(F.col("numbers"), 0, lambda a, b: a + b).alias("sums")).collect():
+        assert r.sums == list(itertools.accumulate(r.numbers, initial=0))[:-1]
+
+
+def test_added_spans_against_planted_ones(spark):
+    """Precision and recall of the added kinds on texts with planted data among look-alikes; a base kind wins an overlap."""
+    rng, rows, planted = np.random.default_rng(4), [], {}
+    words = "the of and report shows that values are listed below in order".split()
+    filler = lambda n: " ".join(rng.choice(words, n))
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    for i in range(240):
+        kind, value, lead = [
+            ("secret", hexes(40), 'token = "'), ("secret", "AKIA" + "".join(rng.choice(list("ABCDEFGHIJ234567"), 16)), "key "), ("ssn", f"{rng.integers(100, 660)}-{rng.integers(10, 99)}-{rng.integers(1000, 9999)}", "ssn "),
+            ("phone_local", f"({rng.integers(201, 990)}) 555-{rng.integers(1000, 9999)}", "phone "), ("iban", "DE89 3704 0044 0532 0130 00", "account "), ("", "", ""),
+            ("", "version 3-14-1592", ""), ("", "a = bbbbbbbbbbbbbbbbbbbb", ""),
+        ][i % 8]
+        before = f"{filler(12)} {lead}"
+        rows.append((i, f"{before}{value} {filler(10)}"))
+        planted[i] = {f"{kind}:{len(before)}:{len(before) + len(value)}"} if kind else set()
+    got = {r.doc_id: set(r.spans.split(",")) - {""} for r in personal_data.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    right = sum(len(got[i] & planted[i]) for i in got)
+    assert right >= 0.95 * sum(map(len, planted.values())) and right >= 0.95 * sum(map(len, got.values()))
 
 
 def test_reliabilities_follow_agreement():
