@@ -302,20 +302,14 @@ def read_page(url: str | None, source: str | None) -> tuple[list[tuple[str | Non
     return out, _key(xxhash.xxh3_64_intdigest(own_text))
 
 
-def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", source: str = "html", min_pages: int = 5, share: float = 0.1) -> DataFrame:
-    """The key, the url, ``text`` and ``n_chars`` of every row, and how many blocks went: ``n_recurring n_named``.
-
-    Null or empty pages give an empty text; a null url counts as the host without a name. Repeated rows stay, each with its
-    text. A subtree is a template if it is on pages of its host with ``min_pages`` different main texts, so copies of a page
-    keep theirs. Items, cells, paragraphs and loose text of pages without an article, where a short one may recur by
-    chance, must also be on at least ``share`` of the host's pages. Less than ``min_pages`` pages of a host tell nothing;
-    there, and beside that, blocks go that the markup names (``n_named`` are those that don't recur).
+def _parsed(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:
+    """Every page with its blocks, their keys, hashes of host, page and main text; ``open`` if a key holds text that stays.
 
-    Pages are parsed once; their blocks and keys are stored, counted, and met again by the keys of their templates.
+    Parsing is the dearest step, so its result is stored.
     """
     three = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(source).alias("html"))
     key_type = three.schema["key"].dataType
-    shape = f"key {key_type.simpleString()}, url string, host long, page long, main long, blocks array<struct<text:string,keys:array<long>>>"
+    shape = f"key {key_type.simpleString()}, url string, host long, page long, main long, blocks array<struct<text:string,keys:array<long>>>, open boolean"
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -334,23 +328,49 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", source:
                         pa.array([_key(xxhash.xxh3_64_intdigest(f"{u}\n{s}")) for u, s in zip(urls, sources, strict=True)], pa.int64()),
                         pa.array([main for _, main in found], pa.int64()),
                         pa.array([[{"text": t, "keys": k} for t, k in blocks] for blocks, _ in found], block),
+                        pa.array([any(k and t is not None for t, k in blocks) for blocks, _ in found]),
                     ],
-                    ["key", "url", "host", "page", "main", "blocks"],
+                    ["key", "url", "host", "page", "main", "blocks", "open"],
                 )
 
-    parsed = materialise(three.mapInArrow(read, shape), "html-blocks")
-    subtrees = parsed.select("host", "key", "page", "main", F.explode(F.array_distinct(F.flatten(F.col("blocks.keys")))).alias("subtree"))
+    return materialise(three.mapInArrow(read, shape), "html-blocks")
+
+
+def _templates(parsed: DataFrame, min_pages: int, share: float) -> DataFrame:
+    """``(host, subtree, texts, pages)``: recurring subtrees, the different main texts and the pages that they are on."""
+    subtrees = parsed.select("host", "main", F.explode(F.array_distinct(F.flatten(F.col("blocks.keys")))).alias("subtree"))
     beside = subtrees.groupBy("host", "subtree", "main").agg(F.count(F.lit(1)).alias("n"))
-    counted = beside.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n")).where(F.col("texts") >= min_pages)
+    counted = beside.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("pages")).where(F.col("texts") >= min_pages)
     small = F.col("subtree").bitwiseAND(F.lit(1)) == 1
-    of_host = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    templates = counted.join(of_host, "host").where(~small | (F.col("n") >= share * F.col("pages"))).select("subtree")
-    recurring = subtrees.select("key", "page", "subtree").join(templates, "subtree", "left_semi")
+    of_host = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
+    return counted.join(of_host, "host").where(~small | (F.col("pages") >= share * F.col("all_pages"))).drop("all_pages")
+
+
+def templates(pages: DataFrame, *, key: str = "page_id", url: str = "url", source: str = "html", min_pages: int = 5, share: float = 0.1) -> DataFrame:
+    """The templates by which ``extract`` works, by hashes of host and subtree: ``(host, subtree, texts, pages)``."""
+    return _templates(_parsed(pages, key, url, source), min_pages, share)
+
+
+def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", source: str = "html", min_pages: int = 5, share: float = 0.1) -> DataFrame:
+    """The key, the url, ``text`` and ``n_chars`` of every row.
+
+    Null or empty pages give an empty text; a null url counts as the host without a name. Repeated rows stay, each with its
+    text. A subtree is a template if it is on pages of its host with ``min_pages`` different main texts, so copies of a page
+    keep theirs. Items, cells, paragraphs and loose text of pages without an article, where a short one may recur by
+    chance, must also be on at least ``share`` of the host's pages. Less than ``min_pages`` pages of a host tell nothing;
+    there, and beside that, blocks go that the markup names. An empty table gives an empty table.
+
+    Pages are parsed once. All their subtrees are counted, those that the markup names too; only blocks of pages on which
+    a template may hold text that the markup leaves are shuffled, to meet their templates.
+    """
+    parsed = _parsed(pages, key, url, source)
+    text = lambda blocks: F.array_join(F.filter(F.transform(blocks, lambda b: b["text"]), lambda t: t.isNotNull()), "\n")
+    result = lambda df: df.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
+    opened = parsed.where("open")
+    subtrees = opened.select("key", "page", F.explode(F.array_distinct(F.flatten(F.col("blocks.keys")))).alias("subtree"))
+    recurring = subtrees.join(_templates(parsed, min_pages, share).select("subtree"), "subtree", "left_semi")
     gone = recurring.groupBy(F.col("key").alias("own_key"), F.col("page").alias("own_page")).agg(F.collect_set("subtree").alias("gone"))
-    joined = parsed.select("key", "url", "page", "blocks").join(gone, F.col("key").eqNullSafe(F.col("own_key")) & (F.col("page") == F.col("own_page")), "left")
-    recurs = lambda b: F.arrays_overlap(b["keys"], F.coalesce(F.col("gone"), F.array().cast("array<long>")))
-    left = F.filter("blocks", lambda b: ~recurs(b))
-    text = F.array_join(F.filter(F.transform(left, lambda b: b["text"]), lambda t: t.isNotNull()), "\n")
-    named = F.size(F.filter(left, lambda b: b["text"].isNull())).cast("long")
-    out = joined.select("key", "url", text.alias("text"), (F.size("blocks") - F.size(left)).cast("long").alias("n_recurring"), named.alias("n_named"))
-    return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"), "n_recurring", "n_named")
+    joined = opened.select("key", "url", "page", "blocks").join(gone, F.col("key").eqNullSafe(F.col("own_key")) & (F.col("page") == F.col("own_page")), "left")
+    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["keys"], F.coalesce(F.col("gone"), F.array().cast("array<long>"))))
+    plain = parsed.where("NOT open").withColumn("text", text(F.col("blocks")))
+    return result(plain).unionByName(result(joined.withColumn("text", text(left))))
