@@ -452,12 +452,41 @@ def test_deleted_interpolation(spark, docs, odd, none):
     assert deleted_interpolation.score(none).count() == 0
 
 
-def test_interpolated_probabilities_sum_to_one(spark):
-    """Over the words of a context the model gives what is left of one for a word never seen."""
-    texts = [(k, "a b a c b a") for k in range(40)]
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    scores = {r.doc_id: r.score for r in deleted_interpolation.score(df).collect()}
-    assert len({round(s, 9) for s in scores.values()}) == 1 and next(iter(scores.values())) < 0
+def interpolated(rows):
+    """The model over (key, text) rows from plain counts: a function of context and word, and the score of every row."""
+    fold = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 5
+    texts = [(fold(k), ["<s>", *re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "</s>"]) for k, t in rows]
+
+    def estimates(folds):
+        pairs = Counter(p for f, ws in texts if f in folds for p in zip(ws, ws[1:]))
+        words, contexts = Counter(), Counter()
+        for (v, w), n in pairs.items():
+            words[w] += n
+            contexts[v] += n
+        total = max(1, sum(words.values()))
+        return (lambda v, w: pairs[v, w] / contexts[v] if contexts[v] else 0.0), (lambda w: words[w] / total), contexts, words
+
+    bucket = lambda n: int(deleted_interpolation.bucket(np.array([n]))[0])
+    steps = lambda p: int(deleted_interpolation._steps(np.array([p]))[0])
+    two, one, contexts, words = estimates({0, 2, 3})
+    events = Counter((bucket(contexts[v]), steps(two(v, w)), steps(one(w))) for f, ws in texts if f == 4 for v, w in zip(ws, ws[1:]))
+    weights = deleted_interpolation.learn_weights([(*e, n) for e, n in events.items()], len(words))
+    two, one, contexts, words = estimates({0, 2, 3, 4})
+
+    def probability(v, w):
+        a, b, c = weights[bucket(contexts[v])]
+        return a * two(v, w) + b * one(w) + c / (len(words) + 1)
+
+    return probability, contexts, words, [sum(math.log10(probability(v, w)) for v, w in zip(ws, ws[1:])) for _, ws in texts]
+
+
+def test_interpolated_scores_agree_with_brute_force(spark, docs, odd):
+    rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").union(docs.select("doc_id", "text")).collect()]
+    probability, contexts, words, scores = interpolated(rows)
+    got = deleted_interpolation.score(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=50_000, shard_bytes=100_000).collect()
+    assert sorted((str(k), round(s, 6)) for (k, _), s in zip(rows, scores, strict=True)) == sorted((str(r.doc_id), round(r.score, 6)) for r in got)
+    for v in [w for w, _ in contexts.most_common(3)] + [min(contexts, key=contexts.get)]:
+        assert math.isclose(sum(probability(v, w) for w in words) + probability(v, "never seen"), 1, rel_tol=1e-9)
 
 
 def test_weights_find_the_better_estimate():
@@ -468,17 +497,69 @@ def test_weights_find_the_better_estimate():
 
 def test_kneser_ney_is_a_distribution(spark):
     model = kneser_ney.train(spark.createDataFrame([("abracadabra",), ("banana bread",), ("cab",)], "text string"), "text")
-    rows = {(r.ord, r.part, r.key): r.value for r in model.collect()}
+    rows = {(r.ord, r.part, r.key): r.value for r in model.table.collect()}
     letters = sorted({k for o, p, k in rows if o == 1 and p == "alpha"})
-    floor = rows[0, "alpha", 0]
-    assert math.isclose(floor, 1 / (len(letters) + 1))
+    assert math.isclose(model.floor, 1 / (len(letters) + 1))
     known = [g for o, p, g in rows if o == 4 and p == "gamma"]
     context = known[0]
     asked = spark.createDataFrame([((context << 16) | x,) for x in [*letters, 0x7FFF]], "gram long")
-    total = sum(2 ** -r.bits for r in kneser_ney.log_probabilities(asked, model, floor).collect())
+    total = sum(2 ** -r.bits for r in kneser_ney.log_probabilities(asked, model).collect())
     assert math.isclose(total, 1, rel_tol=1e-9)
 
 
+def plain_kneser_ney(texts, order=4):
+    """Bits of a text under interpolated modified Kneser-Ney over runs of characters, from plain counts."""
+    runs = lambda t: [("\1" * (order - 1) + t + "\2")[k : k + order] for k in range(len(t) + 1)]
+    counts, levels = Counter(g for t in texts for g in runs(t)), {}
+    for k in range(order, 0, -1):
+        n = [0] + [sum(c == j for c in counts.values()) for j in (1, 2, 3, 4)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        d = [0.0] + [min(j, max(0.1 * j, j - (j + 1) * y * n[j + 1] / n[j])) if n[j] else 0.5 * j for j in (1, 2, 3)]
+        total, less = Counter(), Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            less[g[:-1]] += d[min(c, 3)]
+        levels[k] = ({g: (c - d[min(c, 3)]) / total[g[:-1]] for g, c in counts.items()}, {h: less[h] / total[h] for h in total})
+        kinds = len(counts)
+        counts = Counter(g[1:] for g in counts)
+
+    def probability(g):
+        p = 1 / (kinds + 1)
+        for k in range(1, order + 1):
+            own = g[order - k :]
+            p = levels[k][0].get(own, 0.0) + levels[k][1].get(own[:-1], 1.0) * p
+        return p
+
+    return lambda t: (-sum(math.log2(probability(g)) for g in runs(t)), len(t) + 1)
+
+
+def test_quality_agrees_with_brute_force(spark, small_dir, docs):
+    """Perplexities, bits and thresholds from plain counts, quantiles by numpy."""
+    labels = spark.read.parquet(f"{small_dir}/labels.parquet")
+    got = kneser_ney.judge(docs, labels, least=10, quantile=0.9).collect()
+    learnt = {r.id for r in kneser_ney.training_ids(labels, "doc_id", "quality", 20_000).collect()}
+    text = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
+    bits = plain_kneser_ney([text[k][0] for k in learnt if k in text])
+    found = {k: bits(t) for k, (t, _) in text.items()}
+    assert learnt and all(math.isclose(r.perplexity, 2 ** (found[r.doc_id][0] / found[r.doc_id][1]), rel_tol=1e-5) for r in got)
+    unseen = [r.doc_id for r in labels.where("quality = 1").collect() if r.doc_id not in learnt and r.doc_id in text]
+    groups = {lang: [k for k in unseen if text[k][1] == lang] for _, lang in text.values()}
+    own = lambda lang: groups[lang] if len(groups[lang]) >= 10 else unseen
+    prior = kneser_ney.PRIOR_CHARACTERS
+    centre = lambda lang: sum(found[k][0] for k in own(lang)) / sum(found[k][1] for k in own(lang))
+    shrunk = lambda k: (found[k][0] + prior * centre(text[k][1])) / (found[k][1] + prior)
+    for r in got:
+        limit = np.quantile([shrunk(k) for k in own(r.lang)], 0.9)
+        assert math.isclose(r.quality_bits, shrunk(r.doc_id), rel_tol=1e-5) and math.isclose(r.threshold, limit, rel_tol=1e-5)
+        assert r.kept == (shrunk(r.doc_id) <= limit) or math.isclose(shrunk(r.doc_id), limit, rel_tol=1e-5)
+
+
+def test_quality_joins_on_keys_only(spark, small_dir, docs):
+    labels = spark.read.parquet(f"{small_dir}/labels.parquet")
+    plan = kneser_ney.judge(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_grams():
     import pyarrow as pa
 
@@ -495,6 +576,7 @@ def test_quality(spark, small_dir, docs, odd, none):
     assert len(got) == docs.count() + 5 and sum(r.kept for r in trusted) >= 0.95 * len(trusted)
     assert not any(r.kept for r in got if r.doc_id >= 10_000)
     strange = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert untouched(kneser_ney.judge(strange, labels), "kept")
     judged = kneser_ney.judge(strange, labels).collect()
     assert len(judged) == len(ODD) and not any(r.kept for r in judged if not r.text)
     assert kneser_ney.judge(none.withColumn("lang", F.lit("en")), labels).count() == 0
@@ -592,10 +674,11 @@ def test_counting_agrees_with_brute_force(spark):
             texts[x].add((f"Text {i % 40}", plain(pieces[i][-1][0])))
     for i, *_ in rows:
         kept[i] = [f"Text {i % 40}" if k == 2 else plain(pieces[i][k if k < 2 else 2][0]) for k in (1, 2, 3) if k == 2 or len(texts[pieces[i][1 if k == 1 else 2]]) < 5]
-    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r.page_id: r.text for r in got} == {i: "\n".join(x) for i, x in kept.items()}
-    assert {r.page_id: (r.n_recurring, r.n_named) for r in got} == {i: (sum(len(texts[x]) >= 5 for x in pieces[i]), int(len(texts[pieces[i][0]]) < 5)) for i, *_ in rows}
-    assert sum(r.n_recurring for r in got) > 100
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {i: "\n".join(x) for i, x in kept.items()}
+    on_pages = Counter(x for i in pieces for x in set(pieces[i]))
+    found = Counter((r.texts, r.pages) for r in html_text.templates(df).collect())
+    assert found == Counter((len(t), on_pages[x]) for x, t in texts.items() if len(t) >= 5) and sum(found.values()) > 20
 
 
 def test_subtree_hashes_cover_the_whole_subtree():
