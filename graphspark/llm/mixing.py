@@ -15,31 +15,43 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspark.llm.storage import materialise
+from graphspark.llm.storage import first_of, materialise, whole_row
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EDGE = 1e-9
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
-    """The words each source gives: ``share`` of all words by weight, no source above ``most`` times its own.
+def numbered(totals: DataFrame) -> DataFrame:
+    """``totals`` with ``no``, the place of each source in the order of code points from 0, null last.
 
-    Sources are ordered by code point with null last and take the weights in turn. What a full source can't take is
-    shared by weight among the others until none is above its limit.
+    Range partitions are sorted side by side; only their row counts come to the driver.
     """
-    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
-    out, free, left = {}, list(names), share * sum(sizes.values())
-    while free:
-        total = sum(weight[s] for s in free)
-        full = [s for s in free if left * weight[s] / total > most * sizes[s]]
-        if not full:
-            out.update((s, left * weight[s] / total) for s in free)
+    ordered = totals.orderBy(F.col("source").isNull(), "source").withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
+    ordered = materialise(ordered, "mix-ordered")
+    before, first = 0, F.lit(None).cast("long")
+    for r in ordered.groupBy("part").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("rows")).orderBy("part").collect():
+        first = F.when(F.col("part") == r["part"], F.lit(before - r["least"])).otherwise(first)
+        before += r["rows"]
+    return ordered.withColumn("no", F.col("place") + first).drop("part", "place")
+
+
+def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """``totals`` (``source size``) with ``no`` and ``target``, the words that each source gives.
+
+    Sources share ``share`` of all words by weight, none above ``most`` times its own. Sources are ordered by code point
+    with null last and take the weights in turn. What a full source can't take is shared by weight among the others: the
+    level of a unit of weight rises until no more sources are full, one aggregate a round, whatever their number.
+    """
+    table = materialise(numbered(totals).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("no") % len(weights) + 1).cast("int"))), "mix-weights")
+    limit, level, was = most * F.col("size"), 0.0, -1
+    full = F.lit(False)
+    while True:
+        sums = table.agg(F.count_if(full).alias("n"), F.sum("size").alias("all"), F.sum(F.when(full, limit).otherwise(0.0)).alias("given"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("weight")).first()
+        if sums["n"] == was or not sums["weight"]:
             break
-        out.update((s, most * sizes[s]) for s in full)
-        left -= sum(most * sizes[s] for s in full)
-        free = [s for s in free if s not in set(full)]
-    return {s: out.get(s, 0.0) for s in names}
+        was, level = sums["n"], (share * sums["all"] - sums["given"]) / sums["weight"]
+        full = F.col("weight") * level > limit
+    return table.withColumn("target", F.when(full, limit).otherwise(F.col("weight") * level)).drop("weight")
 
 
 def fly(size: np.ndarray, chance: np.ndarray, seed: int | list[int]) -> np.ndarray:
@@ -92,34 +104,29 @@ def fly_holding(size: np.ndarray, chance: np.ndarray, seed: int | list[int], lan
     return out
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 4000, max_sources: int = 100_000, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 4000, seed: int = 42) -> DataFrame:
     """One row for each row of ``docs``: the key, the source, ``size source_size target copies taken text_hash``.
 
     ``size`` counts the words between white space; null and empty texts have none. ``taken`` is ``copies * size``, and
     ``copies`` is at most ``ceil(most)``. Null is a source of its own. Rows of equal content each get their own draw. An
     empty table gives an empty table. The same rows give the same mix, however they are partitioned.
-
-    The weights are a setting for each source, so sources are a small dimension: their totals come to the driver, and
-    more than ``max_sources`` of them is an error.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"))
-    rows = materialise(rows, "mix-sizes")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
-    if len(totals) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    goal = targets({r.source: r.size for r in totals}, weights, share, most)
-    plan = []
-    for no, r in enumerate(sorted(totals, key=lambda r: (r.source is None, r.source or ""))):
-        rate = goal[r.source] / r.size if r.size else 0.0
-        whole = int(min(np.floor(rate + EDGE), np.ceil(most)))
-        plan.append((r.source, no, r.size, goal[r.source], whole, max(0.0, rate - whole), -(-r.n // block)))
-    spark = docs.sparkSession
-    plan_df = spark.createDataFrame(plan, "source string, no int, source_size long, target double, whole int, chance double, blocks long")
-    joined = rows.alias("r").join(plan_df.alias("p"), F.expr("r.source <=> p.source")).select("r.*", "no", "source_size", "target", "whole", "chance", F.pmod(F.xxhash64("key", "size", "text_hash"), "blocks").alias("block"))
+    # Rows that are alike throughout are told apart by a number, so that they spread over the blocks.
+    alike = materialise(rows.groupBy("key", "source", "size", "text_hash").agg(F.count(F.lit(1)).alias("alike")), "mix-sizes")
+    totals = alike.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("size"), F.sum("alike").alias("n"))
+    goal = targets(totals, weights, share, most)
+    rate = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0)
+    whole = F.least(F.floor(rate + EDGE), F.lit(int(np.ceil(most)))).cast("int")
+    plan = goal.select(F.col("source").alias("of"), "no", F.col("size").alias("source_size"), "target", whole.alias("whole"), F.greatest(F.lit(0.0), rate - whole).alias("chance"), F.ceil(F.col("n") / block).alias("blocks"))
+    plan = materialise(plan, "mix-plan")
+    most_blocks = plan.agg(F.max("blocks")).first()[0] or 1
+    single = alike.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("alike")))).drop("alike")
+    joined = single.join(plan, F.col("source").eqNullSafe(F.col("of"))).select("key", "source", "size", "text_hash", "nth", "no", "source_size", "target", "whole", "chance", F.pmod(F.xxhash64("key", "size", "text_hash", "nth"), "blocks").alias("block"))
 
     def flight(final: bool):
         def run(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(["size", "text_hash", "key"], ascending=[False, True, True], kind="stable", ignore_index=True)
+            group = group.sort_values(["size", "text_hash", "key", "nth"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
             size, chance = group["size"].to_numpy(), group["chance"].to_numpy()
             no, block = int(group["no"].iloc[0]), int(group["block"].iloc[0])
             # The first block of a source keeps some documents of various sizes for the landing problem.
@@ -130,7 +137,6 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
 
         return run
 
-    most_blocks = max((p[6] for p in plan), default=1)
     done = []
     while True:
         final = most_blocks == 1
@@ -151,12 +157,13 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
 
 
 def take(docs: DataFrame, mixed: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` as often as ``mix`` takes them, with the columns of ``docs``.
+    """The rows of ``docs`` as often as ``mix`` takes them, with the columns of ``docs``, whatever their names.
 
-    Rows that agree in key, source and text are interchangeable: together they come as often as all of them were taken.
+    Rows that agree in key, source and text together come as often as all of them were taken; if they differ in other
+    columns, the one with the least hash of all its columns is repeated. Empty tables give an empty table.
     """
-    decided = mixed.groupBy(F.col(key).alias("_key"), F.col(source).alias("_source"), "text_hash").agg(F.sum("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("text_hash", "_hash")
-    own = docs.withColumn("_own", F.xxhash64(text))
-    joined = own.join(decided, own[key].eqNullSafe(decided["_key"]) & own[source].eqNullSafe(decided["_source"]) & (own["_own"] == decided["_hash"]))
-    once = joined.withColumn("_nth", F.expr(f"row_number() OVER (PARTITION BY `{key}`, `{source}`, _own ORDER BY _own)")).where("_nth = 1")
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    decided = mixed.groupBy(F.col(key).alias("of_key"), F.col(source).alias("of_source"), F.col("text_hash").alias("of_hash")).agg(F.sum("copies").alias("times")).where("times > 0")
+    own = docs.select(whole_row(docs), F.col(key).alias("own_key"), F.col(source).alias("own_source"), F.xxhash64(text).alias("own_hash"))
+    joined = own.join(decided, F.col("own_key").eqNullSafe(F.col("of_key")) & F.col("own_source").eqNullSafe(F.col("of_source")) & (F.col("own_hash") == F.col("of_hash")))
+    once = first_of(joined, "own_key", "own_source", "own_hash")
+    return once.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")

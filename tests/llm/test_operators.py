@@ -402,11 +402,54 @@ def test_common_shingles():
     assert near_dedup.common_shingles(of, value, np.array([0, 2]), np.array([1, 2]), width=2).tolist() == [[2, 0], [0, 1]]
 
 
-def test_targets():
-    got = mixing.targets({"a": 100, "b": 1000, None: 10, "c": 0}, share=1.5)
-    assert list(got) == ["a", "b", "c", None] and got["a"] == 200 and got["c"] == 0
-    assert got[None] == 20 and math.isclose(sum(got.values()), 1.5 * 1110)
-    assert mixing.targets({}) == {}
+def plain_targets(sizes, weights=(5.0, 2.0, 1.0), share=1.5, most=2.0):
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    full = set()
+    while True:
+        free = [s for s in names if s not in full]
+        level = (share * sum(sizes.values()) - sum(most * sizes[s] for s in full)) / (sum(weight[s] for s in free) or 1)
+        new = {s for s in free if level * weight[s] > most * sizes[s]}
+        if not new:
+            return {s: most * sizes[s] if s in full else level * weight[s] for s in names}
+        full |= new
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 1000, None: 10, "c": 0}, {}, {"x": 0}, {None: 7}, {f"s{k}": (k * k * 37) % 1013 for k in range(200)} | {"Z": 5, "é": 9, "😀": 4, "\uffff": 3}])
+def test_targets(spark, sizes):
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
+    expected = plain_targets(sizes)
+    assert [r.source for r in sorted(got, key=lambda r: r.no)] == list(expected) and [r.no for r in sorted(got, key=lambda r: r.no)] == list(range(len(sizes)))
+    assert all(math.isclose(r.target, expected[r.source], rel_tol=1e-9, abs_tol=1e-9) for r in got)
+
+
+def test_small_sources_land_as_near_as_any_choice_can(spark):
+    """Sources of few documents against all choices of documents that the expected copies allow."""
+    import itertools
+
+    rng = np.random.default_rng(12)
+    rows = [(k, " ".join(["w"] * int(rng.integers(1, 60))), f"s{k % 4}") for k in range(36)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in {s for *_, s in rows}:
+        own = [r for r in mixed if r.source == source]
+        rate = own[0].target / own[0].source_size
+        whole, chance = int(rate + 1e-9), rate - int(rate + 1e-9)
+        off = lambda extra: abs(sum(e * r.size for e, r in zip(extra, own)) - chance * own[0].source_size) + abs(sum(extra) - chance * len(own))
+        assert math.isclose(off([r.copies - whole for r in own]), min(off(x) for x in itertools.product((0, 1), repeat=len(own))), abs_tol=1e-6)
+
+
+def test_draws_have_the_chances_asked_for():
+    size = np.array([50, 40, 33, 20, 12, 9, 5, 3])
+    chance = np.array([0.1, 0.5, 0.25, 0.7, 0.9, 0.3, 0.6, 0.4])
+    mean = np.mean([mixing.fly(size, chance, s) for s in range(3000)], axis=0)
+    assert np.allclose(mean, chance, atol=0.04)
+
+
+def test_alike_rows_spread_over_blocks(spark):
+    rows = [(1, "same words here", "a")] * 500 + [(k, "other words", "b") for k in range(2, 40)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=20)
+    got = mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+    assert {r.source: r.n for r in got} == {"a": 500, "b": 38} and all(abs(r.taken - r.target) <= 0.02 * r.target + 3 for r in got)
 
 
 def test_flight_keeps_the_totals():
@@ -434,7 +477,8 @@ def test_mixing(docs, odd, none, block):
     assert again == {(r.doc_id, r.taken) for r in mixed}
     whole = mixing.mix(odd, block=block)
     assert whole.count() == len(ODD) and mixing.take(odd, whole).count() == sum(r.copies for r in whole.collect())
-    assert mixing.take(odd, whole).columns == odd.columns and mixing.mix(none).count() == 0
+    assert mixing.take(odd, whole).columns == odd.columns and untouched(mixing.take(odd, whole)) and mixing.mix(none).count() == 0
+    assert mixing.take(none, mixing.mix(none)).count() == 0
 
 
 def test_deleted_interpolation(spark, docs, odd, none):
