@@ -124,8 +124,19 @@ def _hash(content: bytes) -> int:
     return xxhash.xxh3_64_intdigest(content)
 
 
-def content_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", table_bytes: int = 48 << 20) -> DataFrame:
-    """One row for each distinct normalised text: ``sha256`` (binary), ``content``, ``keep`` (least key) and ``copies``."""
+def scratch_folder() -> str:
+    """A new folder for the spill files of one task, where the executor keeps its own shuffle and spill files.
+
+    No other task reads it; if the executor is lost, the task starts anew elsewhere.
+    """
+    return tempfile.mkdtemp(prefix="grace-", dir=os.environ["SPARK_LOCAL_DIRS"].split(",")[0])
+
+
+def content_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", table_bytes: int = 48 << 20, contents: bool = True) -> DataFrame:
+    """One row for each distinct normalised text: ``sha256`` (binary), ``content``, ``keep`` (least key) and ``copies``.
+
+    Without ``contents`` the column is null; contents are compared all the same.
+    """
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(table: ContentTable) -> pa.RecordBatch:
@@ -148,13 +159,13 @@ def content_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                     part = batch.slice(start, 1000)
                     yield from zip(part.column(0).to_numpy().view(np.uint64).tolist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
 
-        folder = tempfile.mkdtemp(prefix="grace-")  # scratch of this task alone, gone when it ends
+        folder = scratch_folder()
         try:
             for table in grace(records(), table_bytes, folder):
                 for start in range(0, len(table.contents), 2000):
                     part = slice(start, start + 2000)
                     digests = [hashlib.sha256(c).digest() for c in table.contents[part]]
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(table.contents[part], pa.binary()), pa.array(table.least[part], pa.int64()), pa.array(table.copies[part], pa.int64())], ["sha256", "content", "keep", "copies"])
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(table.contents[part] if contents else [None] * len(digests), pa.binary()), pa.array(table.least[part], pa.int64()), pa.array(table.copies[part], pa.int64())], ["sha256", "content", "keep", "copies"])
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
@@ -166,10 +177,10 @@ def decide(docs: DataFrame, *, key: str = "doc_id", text: str = "text", table_by
     """One row for each row of ``docs``: the key, ``keep_id group_size kept text_sha256``.
 
     Texts are equal if they are after each run of white space became one space; null counts as empty. The row with the
-    least key stays; a null key stays only where no other key has the text. Of rows repeated with the same key one stays.
+    least key, an integer, stays; a null key stays only where no other key has the text. Of rows repeated with the same key one stays.
     An empty table gives an empty table.
     """
-    groups = content_groups(docs, key=key, text=text, table_bytes=table_bytes).where("copies > 1").select("sha256", "keep", "copies")
+    groups = content_groups(docs, key=key, text=text, table_bytes=table_bytes, contents=False).where("copies > 1").select("sha256", "keep", "copies")
     normal = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " ")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.unhex(F.sha2(normal.cast("binary"), 256)).alias("sha256")).groupBy("key", "sha256").agg(F.count(F.lit(1)).alias("n"))
     joined = rows.join(groups, "sha256", "left").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))

@@ -49,7 +49,7 @@ def assign(docs: DataFrame, shards: int, *, key: str = "doc_id", text: str = "te
     """One row for each row of ``docs``: the key, ``size text_crc32 law shard slot grown_shard``.
 
     ``size`` is the number of bytes of the text plus 8; a null text has none and the checksum 0, as the empty text has.
-    A null key counts as key -1. Repeated rows share a shard and get slots of their own. Slots number the rows of a
+    Keys are integers; a null key counts as key -1. Repeated rows share a shard and get slots of their own. Slots number the rows of a
     shard from 0 without gaps, by a hash of the row, then by key, so they are the same in every run.
 
     Rows that are alike in key, size and checksum are counted on the map side before anything is shuffled; numbering
