@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from graphspark.llm.packing import pack, unpack
 from graphspark.llm.storage import materialise
-from graphspark.llm.words import NOT_SPACE, per_text, slices, tokenise
+from graphspark.llm.words import NOT_SPACE, per_text, slices, tokenise, trim
 
 FOLDS, HELD_OUT, DELETED = 5, 1, 4
 BUCKETS, STEPS, NEVER = 32, 8, 512
@@ -92,6 +92,7 @@ def chunks(docs: DataFrame, key: str, text: str, chunk_bytes: int) -> DataFrame:
         for deleted in (True, False):
             if pending[deleted]:
                 yield out(deleted)
+        trim()
 
     return docs.select(F.col(key).cast("long").alias("key"), fold(key).alias("fold"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, _CHUNK)
 
@@ -155,6 +156,7 @@ def questions(packed: DataFrame, shards: int) -> DataFrame:
                             out.append((s, order, chunk.id, b - a, pack(keys[a:b], delta=True), pack(kept[a:b].astype(np.int64)), pack(gone[a:b].astype(np.int64))))
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, t), v in zip((("shard", pa.int64()), ("ord", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("kept", pa.binary()), ("gone", pa.binary())), zip(*out, strict=True), strict=True)})
                 del chunk, out, keys, kept, gone, shard  # before the next chunk is unpacked
+                trim()
 
     return packed.mapInArrow(run, "shard long, ord int, chunk long, n long, keys binary, kept binary, gone binary")
 
@@ -165,18 +167,25 @@ def answers(asked: DataFrame) -> DataFrame:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.select(["chunk", "n", "keys", "kept", "gone"]).to_pylist()
         order, shard = key[1].as_py(), key[0].as_py()
-        keys = np.concatenate([unpack(r["keys"], r["n"], np.uint64, delta=True) for r in rows])
-        distinct, place = np.unique(keys, return_inverse=True)
-        kept, gone = (np.bincount(place, weights=np.concatenate([unpack(r[c], r["n"], np.int64) for r in rows]), minlength=len(distinct)).astype(np.int64) for c in ("kept", "gone"))
-        total, out, at = kept + gone, [], 0
-        for r in rows:
-            mine = place[at : at + r["n"]]
-            at += r["n"]
+        keys = [unpack(r["keys"], r["n"], np.uint64, delta=True) for r in rows]
+        distinct = np.unique(np.concatenate(keys))
+        kept, gone = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        for r, own in zip(rows, keys, strict=True):
+            mine = np.searchsorted(distinct, own)
+            np.add.at(kept, mine, unpack(r["kept"], r["n"], np.int64))
+            np.add.at(gone, mine, unpack(r["gone"], r["n"], np.int64))
+        total, out = kept + gone, []
+        del gone
+        for r, own in zip(rows, keys, strict=True):
+            mine = np.searchsorted(distinct, own)
             out.append((r["chunk"], order, shard, r["n"], pack(kept[mine]), pack(total[mine]), None))
+        del keys
         if order == 1:
             word = distinct != BEGIN
             sums = [int((kept[word] > 0).sum()), int(kept[word].sum()), int((total[word] > 0).sum()), int(total[word].sum())]
             out.append((None, 0, shard, 0, None, None, sums))
+        del distinct, kept, total
+        trim()
         return pa.table({c: pa.array(v, t) for (c, t), v in zip((("chunk", pa.int64()), ("ord", pa.int32()), ("shard", pa.int64()), ("n", pa.int64()), ("kept", pa.binary()), ("total", pa.binary()), ("sums", pa.list_(pa.int64()))), zip(*out, strict=True), strict=True)})
 
     return asked.groupBy("shard", "ord").applyInArrow(run, "chunk long, ord int, shard long, n long, kept binary, total binary, sums array<long>")
@@ -211,12 +220,12 @@ def learn_weights(rows: list[tuple[int, int, int, int]], vocabulary: int, rounds
     return weights
 
 
-def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", chunk_bytes: int = 6 << 20, shard_bytes: int = 12 << 20) -> DataFrame:
+def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", chunk_bytes: int = 4 << 20, shard_bytes: int = 6 << 20) -> DataFrame:
     """One row for each row of ``docs``: the key, ``held_out n_tokens n_known train_tokens base_score score``.
 
     Words are what white space ends, with A-Z in lower case; an end follows the last word and counts as a token. Null and
     empty texts are the end alone. Repeated rows are scored and counted as often as they come. ``base_score`` is the
-    unigram model with half a count added, ``score`` the log10 probability under deleted interpolation. Without training
+    unigram model with half a count added, ``score`` the log10 probability under deleted interpolation. Keys are integers. Without training
     documents all counts are 0 and every token has probability 1. An empty table gives an empty table.
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -238,6 +247,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", chunk_byt
             code = (bucket(context) * 1024 + _steps(p2)) * 1024 + _steps(words[chunk.ids] / max(1, n_kept))
             found, n = np.unique(code, return_counts=True)
             got = {c: got.get(c, 0) + k for c, k in zip(found.tolist(), n.tolist(), strict=True)}
+        trim()
         return pa.table({"b": pa.array([c >> 20 for c in got], pa.int64()), "p2": pa.array([c >> 10 & 1023 for c in got], pa.int64()), "p1": pa.array([c & 1023 for c in got], pa.int64()), "n": pa.array(list(got.values()), pa.int64())})
 
     gone = packed.where("deleted")
@@ -259,6 +269,8 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", chunk_byt
             del of, context, words, pairs
             base = np.log10((own + 0.5) / (n_all + 0.5 * (v_all + 1)))
             parts.append(pa.table([pa.array(chunk.doc_keys, pa.int64()), pa.array(chunk.folds == HELD_OUT), pa.array(chunk.lengths), pa.array(per_text((own > 0).astype(np.int64), chunk.lengths)), pa.array(np.full(len(chunk.lengths), n_all)), pa.array(np.add.reduceat(base, np.cumsum(chunk.lengths) - chunk.lengths)), pa.array(np.add.reduceat(np.log10(p), np.cumsum(chunk.lengths) - chunk.lengths))], names))
+            del chunk, own, p, base
+        trim()
         return pa.concat_tables(parts)
 
     names = ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
