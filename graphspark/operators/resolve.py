@@ -1,6 +1,8 @@
 """Resolving names across files, as ranked equi-joins instead of a lookup for each edge.
 
-Every rule proposes targets for edges with a rank; the least rank wins, ties go by preference of file, then by id.
+Every rule proposes targets for edges with a rank; the least rank wins, ties go by preference of file, then by id. Rules
+join on all they fix (name and scope, file, directory or stem), and where a rule leaves a choice its candidates are brought
+down to the one or two that can win before the join, so common names don't multiply calls by definitions.
 """
 
 from __future__ import annotations
@@ -42,7 +44,24 @@ def resolve_imports(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     stem = F.regexp_replace(F.substring_index("file", "/", -1), r"\.[^.]*$", "")
     path = F.replace(F.col("module"), F.lit("."), F.lit("/"))
     fits = (F.col("module") == "") | (stem == F.substring_index("module", ".", -1)) | F.contains("file", path)
-    return asked.join(symbols, "name").where(fits).groupBy("id").agg(F.min("target").alias("target"))
+    # Many files import the same: each (module, name) is looked up once.
+    found = asked.select("name", "module").distinct().join(symbols, "name").where(fits).groupBy("name", "module").agg(F.min("target").alias("target"))
+    return asked.join(found, ["name", "module"]).select("id", "target")
+
+
+def _stem(path: Column) -> Column:
+    """The name that imports use for a file: its folder for ``index`` and ``__init__`` files."""
+    entry = r"/(?:index|__init__)\.[^./]+$"
+    return F.when(path.rlike(entry), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).otherwise(F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", ""))
+
+
+def _least_two(symbols: DataFrame, *key: str) -> DataFrame:
+    """For each key the least target with its file, ``target t_file``, and the least in another file, ``other``."""
+    per_file = symbols.groupBy(*key, "t_file").agg(F.min("target").alias("target"))
+    place = Window.partitionBy(*key).orderBy("target")
+    two = per_file.withColumn("place", F.row_number().over(place)).where("place <= 2")
+    first = lambda c, n: F.max(F.when(F.col("place") == n, F.col(c)))
+    return two.groupBy(*key).agg(first("target", 1).alias("target"), first("t_file", 1).alias("t_file"), first("target", 2).alias("other"))
 
 
 def resolve_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -51,7 +70,8 @@ def resolve_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Ranks: 0 own class of ``this.m``; 1 ``Owner.m`` in the same file; 2 a method of an imported module; 3 a method of a
     class around the caller; 4 a top-level function of the file for a method of a local; 5 last name of a chain in the
     caller's class; 6 any top-level function of the name, other files first; 7 any method, other files first; 8 a bare
-    name in the file, in Go in the directory; 9 what the file imports under the name.
+    name in the file, in Go in the directory; 9 what the file imports under the name, a function first, else the symbol
+    that the longest module path in the imported name leads to.
     """
     symbols = nodes.where(F.col("kind").isin("Function", "Class")).select(F.col("id").alias("target"), "kind", "name", F.col("scope").alias("t_scope"), C.file_of(F.col("id")).alias("t_file"))
     functions = symbols.where("kind = 'Function'")
@@ -61,39 +81,74 @@ def resolve_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     open_calls = open_calls.select("id", "from_node", "to", full.alias("full"), C.file_of(F.col("from_node")).alias("file"), C.symbol_of(F.col("from_node")).alias("caller"))
     open_calls = open_calls.withColumns({"name": F.substring_index("full", ".", -1), "owner": F.regexp_extract("full", r"^(.*)\.[^.]*$", 1), "around": F.regexp_extract("caller", r"^(.*)\.[^.]*$", 1)})
 
-    def by(condition: Column, target: DataFrame, rank: int, prefer_other_file: bool = False) -> DataFrame:
-        hit = open_calls.join(target, "name").where(condition)
-        same = F.col("file") == F.col("t_file")
-        return hit.select("id", F.lit(rank).alias("rank"), F.when(same, 1 if prefer_other_file else 0).otherwise(0 if prefer_other_file else 1).alias("preference"), "target")
-
-    scope = F.col("t_scope")
-    in_file = F.col("file") == F.col("t_file")
-    dotted = F.col("owner") != ""
-    top = ~F.contains("t_scope", F.lit(":"))
+    scope, dotted, this = F.col("t_scope"), F.col("owner") != "", F.col("owner") == "this"
+    in_scope = functions.groupBy("name", F.col("t_scope").alias("wanted")).agg(F.min("target").alias("target"))
+    top, methods = functions.where(~F.contains(scope, F.lit(":"))), functions.where(F.contains(scope, F.lit(":")))
     caller_class = F.concat("file", F.lit(":"), "around")
+
+    def proposal(rows: DataFrame, rank: int, preference: Column | None = None) -> DataFrame:
+        return rows.select("id", F.lit(rank).alias("rank"), (F.lit(0) if preference is None else preference).cast("int").alias("preference"), "target")
+
+    def scoped(rows: DataFrame, wanted: Column, rank: int) -> DataFrame:
+        return proposal(rows.withColumn("wanted", wanted).join(in_scope, ["name", "wanted"]), rank)
+
+    def anywhere(candidates: DataFrame, rank: int) -> DataFrame:
+        # The loosest rules stay within a language: a name that another language shares says nothing about a call.
+        two = _least_two(candidates.withColumn("family", _family(F.col("t_file"))), "name", "family")
+        hit = open_calls.where(dotted).withColumn("family", _family(F.col("file"))).join(two, ["name", "family"])
+        own = F.col("file") == F.col("t_file")
+        chosen = hit.withColumn("target", F.when(own, F.coalesce("other", "target")).otherwise(F.col("target")))
+        return proposal(chosen, rank)
+
+    # Classes around the caller, from the innermost: A.B.m is in A.B and in A.
+    parts = F.split("around", r"\.")
+    classes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(F.col("file"), F.lit(":"), F.array_join(F.slice(parts, 1, k), ".")))
+    enclosed = open_calls.where(dotted & (F.col("around") != "")).withColumn("wanted", F.explode(classes))
+
+    file_top = top.groupBy("name", F.col("t_file").alias("file")).agg(F.min("target").alias("target"))
+    file_any = symbols.groupBy("name", F.col("t_file").alias("file")).agg(F.min("target").alias("target"))
+    go = F.col("t_file").endswith(".go")
+    go_any = symbols.where(go).groupBy("name", _directory(F.col("t_file")).alias("directory")).agg(F.min("target").alias("target"))
+    bare = open_calls.where(~dotted)
+
     imports = edges.where((F.col("edge_type") == "imports") & F.col("to_node").startswith(EXTERNAL)).select(C.file_of(F.col("from_node")).alias("file"), _external_name(F.col("to_node")).alias("imported")).distinct()
     modules = imports.select("file", F.explode(F.array_distinct(F.array("imported", F.regexp_replace("imported", r"\.[^.]*$", "")))).alias("module"))
     modules = modules.select("file", F.regexp_replace(F.regexp_replace("module", r"^[./]+", ""), r"\.(js|ts|py|go)$", "").alias("module")).select("file", F.substring_index(F.regexp_replace("module", "/", "."), ".", -1).alias("stem")).distinct()
-    module_files = functions.select("target", "name", "t_scope", "t_file").withColumn("stem", F.when(F.col("t_file").rlike(r"/index\.[^./]+$"), F.regexp_extract("t_file", r"([^/]+)/index\.[^./]+$", 1)).otherwise(F.regexp_replace(F.substring_index("t_file", "/", -1), r"\.[^.]*$", "")))
-    through_module = open_calls.where(dotted).join(modules, "file").join(module_files, ["name", "stem"]).where("file <> t_file").select("id", F.lit(2).alias("rank"), F.when(F.col("stem") == F.substring_index("owner", ".", -1), 0).otherwise(1).alias("preference"), "target")
-    imported_name = edges.where((F.col("edge_type") == "imports") & F.col("raw_to_node").startswith(EXTERNAL)).select(C.file_of(F.col("from_node")).alias("file"), F.substring_index("raw_to_node", ".", -1).alias("name"), F.col("raw_to_node"), F.col("id").alias("import_id"))
-    resolved = resolve_imports(nodes, edges).join(functions.select("target"), "target", "left_semi")
-    through_import = open_calls.join(imported_name, ["file", "name"]).join(resolved.select(F.col("id").alias("import_id"), "target"), "import_id").select("id", F.lit(9).alias("rank"), F.lit(0).alias("preference"), "target")
-
-    this = F.col("owner") == "this"
-    # The loosest rules stay within a language: a name that another language shares says nothing about a call.
-    related = _family(F.col("file")) == _family(F.col("t_file"))
+    in_module = _least_two(functions.withColumn("stem", _stem(F.col("t_file"))), "name", "stem")
+    called = open_calls.where(dotted)
+    # What the names that a file calls and the modules that it imports have in common, once for the file.
+    reached = called.select("file", "name").distinct().join(modules, "file").join(in_module, ["name", "stem"]).withColumn("target", F.when(F.col("file") == F.col("t_file"), F.col("other")).otherwise(F.col("target"))).where("target IS NOT NULL").select("file", "name", "stem", "target")
+    through_module = proposal(called.join(reached, ["file", "name"]), 2, F.when(F.col("stem") == F.substring_index("owner", ".", -1), 0).otherwise(1))
+
+    raw_imports = edges.where((F.col("edge_type") == "imports") & F.col("raw_to_node").startswith(EXTERNAL)).select(C.file_of(F.col("from_node")).alias("file"), _external_name(F.col("raw_to_node")).alias("imported"), F.col("id").alias("import_id")).withColumn("name", F.substring_index("imported", ".", -1))
+    resolved = resolve_imports(nodes, edges).join(functions.select("target"), "target", "left_semi").withColumnRenamed("id", "import_id")
+    by_import = raw_imports.join(resolved, "import_id").groupBy("file", "name").agg(F.min("target").alias("target"))
+    through_import = proposal(open_calls.join(by_import, ["file", "name"]), 9)
+
+    # An imported name, completed by what the call adds, is a module's path and a symbol in it; the longest path first.
+    local = raw_imports.select("file", F.col("name").alias("head"), "imported").distinct()
+    whole = open_calls.withColumn("head", F.substring_index("full", ".", 1)).join(local, ["file", "head"]).select("id", "file", F.split(F.concat("imported", F.expr("substring(full, length(head) + 1)")), r"\.").alias("parts"))
+    splits = whole.withColumn("k", F.explode(F.when(F.size("parts") > 1, F.sequence(F.lit(1), F.size("parts") - 1)).otherwise(F.array().cast("array<int>"))))
+    splits = splits.select("id", "file", (F.size("parts") - F.col("k")).alias("left"), F.element_at("parts", -1).alias("name"), F.regexp_replace(F.array_join(F.slice("parts", F.lit(1), F.col("k")), "/"), r"^[./]+", "").alias("module"), F.expr("array_join(slice(parts, k + 1, size(parts) - k - 1), '.')").alias("outer"))
+    homes = symbols.withColumn("stem", _stem(F.col("t_file"))).withColumn("path", F.regexp_replace(F.regexp_replace("t_file", r"/(?:index|__init__)\.[^./]+$", ""), r"\.[^./]+$", ""))
+    homes = homes.withColumn("outer", F.when(F.contains(scope, F.lit(":")), F.substring_index("t_scope", ":", -1)).otherwise(""))
+    homes = homes.groupBy("name", "stem", "outer", "path", "t_file").agg(F.min("target").alias("target"))
+    at_home = (F.col("path") == F.col("module")) | F.endswith("path", F.concat(F.lit("/"), F.col("module")))
+    through_split = proposal(splits.withColumn("stem", F.substring_index("module", "/", -1)).join(homes, ["name", "stem", "outer"]).where(at_home & (F.col("file") != F.col("t_file"))), 9, F.col("left"))
+
     proposals = [
-        by(this & (scope == caller_class), functions, 0),
-        by(dotted & ~this & (scope == F.concat("file", F.lit(":"), "owner")), functions, 1),
+        scoped(open_calls.where(this), caller_class, 0),
+        scoped(open_calls.where(dotted & ~this), F.concat("file", F.lit(":"), "owner"), 1),
         through_module,
-        by(dotted & (F.col("around") != "") & ((scope == caller_class) | F.startswith(caller_class, F.concat(scope, F.lit("."))) & ~top) & in_file, functions, 3),
-        by(dotted & in_file & top, functions, 4),
-        by((F.instr("owner", ".") > 0) & (scope == caller_class), functions, 5),
-        by(dotted & top & related, functions, 6, prefer_other_file=True),
-        by(dotted & ~top & related, functions, 7, prefer_other_file=True),
-        by(~dotted & (in_file | (F.col("file").endswith(".go") & F.col("t_file").endswith(".go") & (_directory(F.col("file")) == _directory(F.col("t_file"))))), symbols, 8),
+        proposal(enclosed.join(in_scope, ["name", "wanted"]), 3),
+        proposal(called.join(file_top, ["file", "name"]), 4),
+        scoped(open_calls.where(F.instr("owner", ".") > 0), caller_class, 5),
+        anywhere(top, 6),
+        anywhere(methods, 7),
+        proposal(bare.join(file_any, ["file", "name"]), 8),
+        proposal(bare.where(F.col("file").endswith(".go")).withColumn("directory", _directory(F.col("file"))).join(go_any, ["name", "directory"]), 8, F.lit(1)),
         through_import,
+        through_split,
     ]
     out = proposals[0]
     for p in proposals[1:]:

@@ -28,32 +28,41 @@ def bfs_levels(seeds: DataFrame, arcs: DataFrame, depth: int) -> DataFrame:
     return reached
 
 
-def dead_fixpoint(candidates: DataFrame, roots: DataFrame, uses: DataFrame, rounds: int = 100) -> DataFrame:
+def dead_fixpoint(candidates: DataFrame, roots: DataFrame, uses: DataFrame) -> DataFrame:
     """``(id, depth)``: the least set with all roots (depth 0) and every candidate used only from inside the set.
 
-    ``candidates`` and ``roots`` have ``id``; ``uses`` has ``src`` and ``dst``, src using dst.
+    ``candidates`` and ``roots`` have ``id``; ``uses`` has ``src`` and ``dst``, src using dst. Rounds go on until nothing
+    is added; each looks only at what the last one's symbols use.
     """
-    dead = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
-    inner = uses.join(candidates.select(F.col("id").alias("dst")), "dst", "left_semi").where("src <> dst").distinct()
-    for level in range(1, rounds + 1):
-        marked = inner.join(dead.select(F.col("id").alias("src"), F.lit(1).alias("gone")), "src", "left")
+    new = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
+    inner = cut(uses.join(candidates.select(F.col("id").alias("dst")), "dst", "left_semi").where("src <> dst").select("src", "dst").distinct())
+    dead, level = new, 0
+    while not new.isEmpty():
+        level += 1
+        touched = inner.join(new.select(F.col("id").alias("src")), "src", "left_semi").select("dst").distinct()
+        marked = inner.join(touched, "dst", "left_semi").join(dead.select(F.col("id").alias("src"), F.lit(1).alias("gone")), "src", "left")
         full = marked.groupBy(F.col("dst").alias("id")).agg(F.count("gone").alias("gone"), F.count(F.lit(1)).alias("all")).where("gone = all").select("id")
         new = cut(full.join(dead, "id", "left_anti").withColumn("depth", F.lit(level)))
-        if new.isEmpty():
-            break
-        dead = dead.union(new)
+        dead = _grown(dead, new, level)
     return dead
 
 
-def strongly_connected(arcs: DataFrame, rounds: int = 1000) -> DataFrame:
+def _grown(whole: DataFrame, part: DataFrame, step: int) -> DataFrame:
+    """A union that grows by a part at each step; now and then it is written as one, so that plans stay short."""
+    out = whole.union(part)
+    return cut(out) if step % 16 == 0 else out
+
+
+def strongly_connected(arcs: DataFrame) -> DataFrame:
     """``(id, component)`` of nodes on a cycle of ``arcs(src, dst)``; the component is its least node.
 
-    Trims what has no way in or out, then propagates the least label forward and backward: nodes that reach, and are
-    reached by, their label form a component, and the rest goes round again.
+    Trims what has no way in or out, then labels every node with the least node that reaches it and, among nodes of one
+    label, with the least that it reaches: nodes where both are the same form a component, and the rest goes round again.
     """
     arcs = cut(arcs.select("src", "dst").where("src <> dst").distinct())
     done: DataFrame | None = None
-    for _ in range(rounds):
+    rounds = 0
+    while True:
         while True:
             inside = arcs.join(arcs.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(arcs.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
             trimmed = cut(inside)
@@ -62,11 +71,12 @@ def strongly_connected(arcs: DataFrame, rounds: int = 1000) -> DataFrame:
             arcs = trimmed
         if arcs.isEmpty():
             break
+        rounds += 1
         forward = _least_label(arcs)
         same = arcs.join(forward.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(forward.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
-        back = _reaches_label(cut(same.select("src", "dst", F.col("a").alias("label"))))
-        found = cut(back)
-        done = found if done is None else done.union(found)
+        back = _least_label(cut(same.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+        found = cut(back.withColumnRenamed("label", "component").join(forward.select("id", F.col("label").alias("component")), ["id", "component"]))
+        done = found if done is None else _grown(done, found, rounds)
         gone = found.select("id")
         arcs = cut(arcs.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
     if done is None:
@@ -76,28 +86,22 @@ def strongly_connected(arcs: DataFrame, rounds: int = 1000) -> DataFrame:
 
 
 def _least_label(arcs: DataFrame) -> DataFrame:
-    """The least node that reaches each node."""
+    """The least node that reaches each node.
+
+    What reaches a node's label reaches the node, so labels also jump to the labels of their labels, and long chains take
+    far fewer rounds than they have steps.
+    """
     labels = cut(arcs.select(F.col("src").alias("id")).union(arcs.select("dst")).distinct().withColumn("label", F.col("id")))
     while True:
         seen = arcs.join(labels, arcs["src"] == labels["id"]).groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("seen"))
-        new = cut(labels.join(seen, "id", "left").select("id", F.least("label", F.coalesce("seen", "label")).alias("label"), F.col("label").alias("was")))
+        near = labels.join(seen, "id", "left").select("id", F.least("label", F.coalesce("seen", "label")).alias("near"), F.col("label").alias("was"))
+        jump = labels.select(F.col("id").alias("near"), F.col("label").alias("jump"))
+        new = cut(near.join(jump, "near").select("id", F.least("near", "jump").alias("label"), "was"))
         labels, changed = new.select("id", "label"), new.where("label <> was")
         if changed.isEmpty():
             return labels
 
 
-def _reaches_label(arcs: DataFrame) -> DataFrame:
-    """Of nodes that a label reaches, those that reach the label again; ``arcs`` has the label of both ends."""
-    found = cut(arcs.select(F.col("label").alias("id"), F.col("label").alias("component")).distinct())
-    frontier = found
-    while True:
-        step = arcs.join(frontier, (arcs["dst"] == frontier["id"]) & (arcs["label"] == frontier["component"])).select(F.col("src").alias("id"), "component").distinct()
-        frontier = cut(step.join(found, ["id", "component"], "left_anti"))
-        if frontier.isEmpty():
-            return found
-        found = found.union(frontier)
-
-
 def simple_cycles(arcs: DataFrame, longest: int) -> DataFrame:
     """``(chain, length)`` of the simple cycles of up to ``longest`` nodes, each once, starting at its least node.
 

@@ -102,7 +102,8 @@ def _(g: CodeGraph) -> DataFrame:
 def _(g: CodeGraph) -> DataFrame:
     own = g.edges.select("id", "edge_type", "from_node", "to_node", "location", "metadata")
     again = own.withColumns({"id": F.concat("id", F.lit("~")), "metadata": F.lit("{}")})
-    return normalize.dedupe_edges(own.withColumn("seq", F.lit(1)).union(again.withColumn("seq", F.lit(2))))
+    place = lambda n: F.struct(F.lit(n).alias("n"), "id")
+    return normalize.dedupe_edges(own.withColumn("seq", place(1)).union(again.withColumn("seq", place(2)))).drop("seq")
 
 
 @query("transform_dedupe", """SELECT edge_type AS op, split_part(location, ':', 1) AS location, array_to_string(list_sort(list(DISTINCT to_node)), ',') AS inputs, min(id) AS id FROM tg_edges WHERE edge_type IN ('calls', 'assigns') GROUP BY ALL""")

@@ -82,3 +82,13 @@ def test_dead_fixpoint(spark, arcs):
     nodes = spark.createDataFrame([(n,) for n in range(8)], "id long")
     got = traverse.dead_fixpoint(nodes, spark.createDataFrame([(n,) for n in sorted(roots)], "id long"), frame(spark, arcs))
     assert {(r.id, r.depth) for r in got.collect()} == set(dead.items())
+
+
+def test_chains_of_any_length(spark):
+    """A chain of dead symbols, and of files with an arc back, come out whole beyond a hundred rounds."""
+    chain = [(n, n + 1) for n in range(110)]
+    nodes = spark.createDataFrame([(n,) for n in range(111)], "id long")
+    got = traverse.dead_fixpoint(nodes, nodes.limit(1).where("id = 0"), frame(spark, chain)).collect()
+    assert {(r.id, r.depth) for r in got} == {(n, n) for n in range(111)}
+    found = traverse.strongly_connected(frame(spark, [*chain, (110, 0), (200, 201)])).collect()
+    assert {(r.id, r.component) for r in found} == {(n, 0) for n in range(111)}
