@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphspark.functions import columns as C
+from graphspark.operators.checkpoints import stored
 from graphspark.schema import EXTERNAL
 
 
@@ -74,13 +75,16 @@ def resolve_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     that the longest module path in the imported name leads to.
     """
     symbols = nodes.where(F.col("kind").isin("Function", "Class")).select(F.col("id").alias("target"), "kind", "name", F.col("scope").alias("t_scope"), C.file_of(F.col("id")).alias("t_file"))
-    functions = symbols.where("kind = 'Function'")
     calls = edges.where(F.col("edge_type") == "calls").select("id", "from_node", F.col("raw_to_node").alias("to"))
     open_calls = calls.join(symbols.select("target"), F.col("to") == F.col("target"), "left_anti")
     full = F.coalesce(_external_name(F.col("to")), C.symbol_of(F.col("to")))
     open_calls = open_calls.select("id", "from_node", "to", full.alias("full"), C.file_of(F.col("from_node")).alias("file"), C.symbol_of(F.col("from_node")).alias("caller"))
     open_calls = open_calls.withColumns({"name": F.substring_index("full", ".", -1), "owner": F.regexp_extract("full", r"^(.*)\.[^.]*$", 1), "around": F.regexp_extract("caller", r"^(.*)\.[^.]*$", 1)})
 
+    # All rules below read these, so they are worked out once.
+    open_calls, symbols = stored(open_calls, "open-calls"), stored(symbols, "symbols")
+    functions = symbols.where("kind = 'Function'")
+
     scope, dotted, this = F.col("t_scope"), F.col("owner") != "", F.col("owner") == "this"
     in_scope = functions.groupBy("name", F.col("t_scope").alias("wanted")).agg(F.min("target").alias("target"))
     top, methods = functions.where(~F.contains(scope, F.lit(":"))), functions.where(F.contains(scope, F.lit(":")))

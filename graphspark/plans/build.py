@@ -90,6 +90,7 @@ def build(spark: SparkSession, root: str, store_path: str, *, full: bool = False
     written = store.write({**tables, **finish(fresh)})
     for df in (files, changed, facts):
         df.unpersist()
+    store.vacuum()
     return {"status": "ok", "changed_files": n_changed, "total_files": total, "version": written} | _stats(store)
 
 

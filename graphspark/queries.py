@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphspark import cases
 from graphspark.functions import columns as C
 from graphspark.operators import export, normalize, resolve, traverse
 from graphspark.plans import build
 from graphspark.plans.graph import CodeGraph
-from graphspark.sources import tree
+from graphspark.sources.languages import detect_language
 from graphspark.trade import trade_graph, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -550,10 +550,15 @@ def _(g: CodeGraph) -> DataFrame:
     return export.lines(g, "dot", include_external=True).where("part = 2").select("line")
 
 
-@table_query("extract_sources", None)
+@table_query("extract_sources", cases.facts_sql())
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of this package's own sources: scan, extraction, normalising and resolution without a store. No SQL can parse."""
-    files = tree.scan(spark, os.path.dirname(os.path.abspath(__file__)), "python")
-    tables = build.finish(build.raw_tables(build.extract_facts(files).persist()))
-    nodes = tables["nodes"].groupBy(F.lit("node").alias("fact"), F.col("kind")).agg(F.count(F.lit(1)).alias("n"))
-    return nodes.union(tables["edges"].groupBy(F.lit("edge"), F.col("edge_type")).agg(F.count(F.lit(1))))
+    """Facts of fixed sources in all languages, as extraction has them before any merging or resolving."""
+    rows = [(path, detect_language(path), text.encode()) for path, text in cases.SOURCES.items()]
+    files = spark.createDataFrame(rows, "path string, lang string, content binary").repartition(4, "path")
+    raw = build.raw_tables(build.extract_facts(files.where("lang IS NOT NULL")))
+    meta = C.metadata(F.col("metadata"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    said = F.array_join(F.transform(meta["args"], lambda x: F.concat_ws(":", x["index"].cast("string"), x["kind"], text(x["kw"]), x["name"])), " ")
+    nodes = raw["raw_nodes"].select(F.lit("node").alias("fact"), "kind", F.col("id").alias("a"), F.col("type_annotation").alias("b"), F.when(F.col("is_param") == 1, "parameter").otherwise("").alias("said"), F.col("location").alias("place"))
+    edges = raw["raw_edges"].select(F.lit("edge"), "edge_type", "from_node", "to_node", text(F.coalesce(said, meta["decorator"])), "location")
+    return nodes.union(edges)

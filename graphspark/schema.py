@@ -34,7 +34,5 @@ EDGE = T.StructType([*_fields("id edge_type from_node to_node location code meta
 TRANSFORM = T.StructType([*_fields("id kind op op_node location"), T.StructField("inputs", T.ArrayType(T.StringType())), T.StructField("outputs", T.ArrayType(T.StringType())), *_fields("branch code")])
 FILE = T.StructType([*_fields("path lang source_hash"), T.StructField("size", T.LongType()), T.StructField("content", T.BinaryType())])
 
-NODE_KINDS = ("File", "Function", "Class", "Variable", "External", "TypeAlias")
-EDGE_KINDS = ("defines", "imports", "calls", "returns", "assigns", "reads", "writes", "attrs", "decorates", "param-flow", "param-transform")
-TRANSFORM_KINDS = ("call", "assign", "unpack", "attribute", "subscript", "operator", "return", "comprehension")
+# Fixed value: what the ids of symbols outside the tree begin with.
 EXTERNAL = "#external:"

@@ -1,4 +1,8 @@
-"""Versioned Parquet tables of a graph: a build writes a new version, then a pointer names it."""
+"""Versioned Parquet tables of a graph: a build writes a new version, then a new pointer names it.
+
+Pointers are files with rising numbers, made by renaming a whole file to a name that nobody has yet; the highest counts.
+So at every moment readers find the old version or the new one, also if a build dies in between.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,8 @@ from graphspark.plans.graph import CodeGraph
 TABLES = ("files", "raw_nodes", "raw_edges", "raw_transforms", "nodes", "edges", "transforms")
 PARTITIONS = {"nodes": "kind", "edges": "edge_type"}
 POINTER = "_CURRENT"
+#: Pointers that stay behind the newest, for readers that are listing them.
+KEPT_POINTERS = 5
 
 
 class Store:
@@ -22,16 +28,23 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[tuple[int, object]]:
+        """Numbers and paths of all pointers, the newest first."""
+        folder = self._path(self.path)
+        if not self._fs.exists(folder):
+            return []
+        named = [(s.getPath().getName(), s.getPath()) for s in self._fs.listStatus(folder)]
+        return sorted(((int(n.removeprefix(POINTER + "-")), p) for n, p in named if n.startswith(POINTER + "-") and n.rpartition("-")[2].isdigit()), key=lambda x: -x[0])
+
     def current(self) -> str | None:
         """The version that readers see; None before the first build."""
-        pointer = self._path(f"{self.path}/{POINTER}")
-        if not self._fs.exists(pointer):
-            return None
-        stream = self._fs.open(pointer)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+        for _, pointer in self._pointers():
+            stream = self._fs.open(pointer)
+            try:
+                return bytes(stream.readAllBytes()).decode()
+            finally:
+                stream.close()
+        return None
 
     def read(self, table: str) -> DataFrame | None:
         version = self.current()
@@ -54,15 +67,19 @@ class Store:
         return version
 
     def publish(self, version: str) -> None:
-        new, pointer = self._path(f"{self.path}/{POINTER}.{version}"), self._path(f"{self.path}/{POINTER}")
+        new = self._path(f"{self.path}/_new-{version}")
         stream = self._fs.create(new, True)
         try:
             stream.write(bytearray(version.encode()))
         finally:
             stream.close()
-        # Renaming over a file is not portable, so the old pointer goes first; a reader in between finds no graph and asks again.
-        self._fs.delete(pointer, False)
-        self._fs.rename(new, pointer)
+        found = self._pointers()
+        number = found[0][0] + 1 if found else 1
+        # A rename that finds the name taken fails: another build was faster, and this one comes after it.
+        while self._fs.exists(self._path(f"{self.path}/{POINTER}-{number}")) or not self._fs.rename(new, self._path(f"{self.path}/{POINTER}-{number}")):
+            number += 1
+        for _, pointer in self._pointers()[KEPT_POINTERS:]:
+            self._fs.delete(pointer, False)
 
     def vacuum(self, keep: int = 2) -> list[str]:
         """Deletes all but the ``keep`` newest versions; the current one always stays."""

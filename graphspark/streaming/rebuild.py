@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -26,4 +28,5 @@ def watch(spark: SparkSession, notices: str, store_path: str, checkpoint: str, *
 
 
 def graph_path(store_path: str, root: str) -> str:
-    return f"{store_path.rstrip('/')}/{root.strip('/').replace('/', '_')}"
+    """The graph of a tree: its name, and a hash of its whole path, which tells trees of similar paths apart."""
+    return f"{store_path.rstrip('/')}/{root.rstrip('/').rpartition('/')[2]}-{hashlib.sha256(root.rstrip('/').encode()).hexdigest()[:16]}"
