@@ -129,32 +129,52 @@ def _(g: CodeGraph) -> DataFrame:
     return normalize.scope_parents(g.nodes)
 
 
-@query("import_resolve", r"""SELECT id, min(target) AS target FROM (
-  SELECT e.id, n.id AS target FROM (SELECT id, split_part(substr(raw_to_node, 11), '.', -1) AS name, regexp_extract(substr(raw_to_node, 11), '^(.*)\.[^.]*$', 1) AS module FROM tg_edges WHERE edge_type = 'imports' AND raw_to_node LIKE '#external:%') e
-  JOIN tg_nodes n ON n.name = e.name AND n.kind IN ('Function', 'Class')
-  WHERE e.module = '' OR regexp_replace(split_part(split_part(n.id, '#', 1), '/', -1), '\.[^.]*$', '') = split_part(e.module, '.', -1) OR strpos(split_part(n.id, '#', 1), replace(e.module, '.', '/')) > 0)
-GROUP BY id""")
-def _(g: CodeGraph) -> DataFrame:
-    return resolve.resolve_imports(g.nodes, g.edges)
-
-
-def _raw_calls(g: CodeGraph) -> DataFrame:
-    """The calls as the source has them: one in three through an object, the others by bare name."""
-    calls = g.edges.where("edge_type = 'calls'")
-    through = F.crc32(F.col("id").cast("binary")) % 3 == 0
-    return calls.where(~through).union(calls.where(through).withColumn("raw_to_node", F.regexp_replace("raw_to_node", "^#external:", "#external:svc.")))
+def _raw_edges(g: CodeGraph) -> DataFrame:
+    """Edges as the sources have them before any resolving: imports of modules without file endings, and calls by bare
+    name, through ``this``, a class, any object, or a chain, by the line item that the call comes from. Imports of Python
+    files lead to their symbols already, so that calls there fall to the rules behind that of imported modules."""
+    line, supplier = F.split("id", "_")[1].cast("int") % 6, F.split("id", "_")[3].cast("int")
+    method = F.concat(F.lit("fn_"), (supplier % 50).cast("string"))
+    through = F.when(line == 1, F.concat(F.lit("this."), method)).when(line == 2, F.concat(F.lit("BUILDING."), method)).when(line == 3, F.concat(F.lit("svc."), method))
+    said = F.concat(F.lit("#external:"), through.when(line == 4, F.concat(F.lit("a.svc."), F.substring("raw_to_node", 11, 100))).otherwise(F.substring("raw_to_node", 11, 100)))
+    raw = F.when(F.col("edge_type") == "calls", said).when(F.col("edge_type") == "imports", F.regexp_replace("raw_to_node", r"\.(py|go|ts|js)\.", ".")).otherwise(F.col("raw_to_node"))
+    return g.edges.withColumn("raw_to_node", raw).withColumn("to_node", F.when((F.col("edge_type") == "calls") | ((F.col("edge_type") == "imports") & ~C.file_of(F.col("from_node")).endswith(".py")), F.col("raw_to_node")).otherwise(F.col("to_node")))
+
+
+RAW = r""", syms AS (SELECT id AS target, kind, name, scope AS t_scope, split_part(id, '#', 1) AS t_file FROM tg_nodes WHERE kind IN ('Function', 'Class')),
+imps AS MATERIALIZED (SELECT id, split_part(from_node, '#', 1) AS file, substr(regexp_replace(raw_to_node, '\.(py|go|ts|js)\.', '.'), 11) AS imported FROM tg_edges WHERE edge_type = 'imports' AND raw_to_node LIKE '#external:%'),
+asked AS (SELECT id, file, split_part(imported, '.', -1) AS name, regexp_extract(imported, '^(.*)\.[^.]*$', 1) AS module FROM imps),
+found AS MATERIALIZED (SELECT a.id, min(s.target) AS target FROM asked a JOIN syms s ON s.name = a.name
+  WHERE a.module = '' OR regexp_replace(split_part(s.t_file, '/', -1), '\.[^.]*$', '') = split_part(a.module, '.', -1) OR strpos(s.t_file, replace(a.module, '.', '/')) > 0 GROUP BY a.id)
+"""
 
 
-@query("call_resolve_ranked", r"""SELECT id, target, "rank" FROM (SELECT id, target, "rank", row_number() OVER (PARTITION BY id ORDER BY "rank", pref, target) AS n FROM (
-  SELECT e.id, n.id AS target, CASE WHEN split_part(n.id, '#', 1) = split_part(e.from_node, '#', 1) OR (e.from_node LIKE '%.go#%' AND n.id LIKE '%.go#%' AND regexp_extract(split_part(n.id, '#', 1), '^(.*)/[^/]*$', 1) = regexp_extract(split_part(e.from_node, '#', 1), '^(.*)/[^/]*$', 1)) THEN 8 END AS "rank",
-    CASE WHEN split_part(n.id, '#', 1) = split_part(e.from_node, '#', 1) THEN 0 ELSE 1 END AS pref
-  FROM tg_edges e JOIN tg_nodes n ON n.name = substr(e.raw_to_node, 11) AND n.kind IN ('Function', 'Class') WHERE e.edge_type = 'calls'
-  UNION ALL
-  SELECT e.id, min(n.id), 9, 0 FROM tg_edges e JOIN tg_edges i ON i.edge_type = 'imports' AND i.raw_to_node LIKE '#external:%' AND split_part(i.from_node, '#', 1) = split_part(e.from_node, '#', 1) AND split_part(i.raw_to_node, '.', -1) = substr(e.raw_to_node, 11)
-  JOIN tg_nodes n ON n.name = split_part(i.raw_to_node, '.', -1) AND n.kind = 'Function' AND (regexp_replace(split_part(split_part(n.id, '#', 1), '/', -1), '\.[^.]*$', '') = split_part(regexp_extract(substr(i.raw_to_node, 11), '^(.*)\.[^.]*$', 1), '.', -1) OR strpos(split_part(n.id, '#', 1), replace(regexp_extract(substr(i.raw_to_node, 11), '^(.*)\.[^.]*$', 1), '.', '/')) > 0)
-  WHERE e.edge_type = 'calls' GROUP BY e.id, i.id) WHERE "rank" IS NOT NULL) WHERE n = 1""")
-def _(g: CodeGraph) -> DataFrame:
-    return resolve.resolve_calls(g.nodes, g.edges)
+@query("import_resolve", RAW + "SELECT id, target FROM found")
+def _(g: CodeGraph) -> DataFrame:
+    return resolve.resolve_imports(g.nodes, _raw_edges(g))
+
+
+@query("call_resolve_ranked", RAW + r""", lines AS (SELECT id, split_part(from_node, '#', 1) AS file, split_part(from_node, '#', 2) AS caller, substr(raw_to_node, 11) AS bare, 'fn_' || (CAST(split_part(id, '_', 4) AS INTEGER) % 50) AS method, CAST(split_part(id, '_', 2) AS INTEGER) % 6 AS line FROM tg_edges WHERE edge_type = 'calls'),
+said AS (SELECT id, file, caller, CASE line WHEN 1 THEN 'this.' || method WHEN 2 THEN 'BUILDING.' || method WHEN 3 THEN 'svc.' || method WHEN 4 THEN 'a.svc.' || bare ELSE bare END AS full_name FROM lines),
+calls AS MATERIALIZED (SELECT id, file, split_part(full_name, '.', -1) AS name, regexp_extract(full_name, '^(.*)\.[^.]*$', 1) AS owner, regexp_extract(caller, '^(.*)\.[^.]*$', 1) AS around FROM said),
+stems AS (SELECT DISTINCT file, regexp_replace(split_part(replace(regexp_replace(module, '\.(js|ts|py|go)$', ''), '/', '.'), '.', -1), '', '') AS stem FROM (SELECT file, unnest([imported, regexp_replace(imported, '\.[^.]*$', '')]) AS module FROM imps WHERE file NOT LIKE '%.py')),
+pairs AS (SELECT c.*, s.*, c.file = s.t_file AS own, strpos(s.t_scope, ':') = 0 AS top,
+  CASE WHEN c.file LIKE '%.py' THEN 'py' WHEN c.file LIKE '%.go' THEN 'go' ELSE 'js' END = CASE WHEN s.t_file LIKE '%.py' THEN 'py' WHEN s.t_file LIKE '%.go' THEN 'go' ELSE 'js' END AS related,
+  regexp_extract(c.file, '^(.*)/[^/]*$', 1) = regexp_extract(s.t_file, '^(.*)/[^/]*$', 1) AND c.file LIKE '%.go' AND s.t_file LIKE '%.go' AS go_dir FROM calls c JOIN syms s ON s.name = c.name),
+props AS (
+  SELECT id, target, 0 AS "rank", 0 AS pref FROM pairs WHERE kind = 'Function' AND owner = 'this' AND t_scope = file || ':' || around
+  UNION ALL SELECT id, target, 1, 0 FROM pairs WHERE kind = 'Function' AND owner NOT IN ('', 'this') AND t_scope = file || ':' || owner
+  UNION ALL SELECT p.id, p.target, 2, CASE WHEN stem = split_part(owner, '.', -1) THEN 0 ELSE 1 END FROM pairs p JOIN stems m ON m.file = p.file AND m.stem = regexp_replace(split_part(p.t_file, '/', -1), '\.[^.]*$', '') WHERE kind = 'Function' AND owner <> '' AND NOT own
+  UNION ALL SELECT id, target, 3, 0 FROM pairs WHERE kind = 'Function' AND owner <> '' AND around <> '' AND (t_scope = file || ':' || around OR (NOT top AND starts_with(file || ':' || around, t_scope || '.')))
+  UNION ALL SELECT id, target, 4, 0 FROM pairs WHERE kind = 'Function' AND owner <> '' AND own AND top
+  UNION ALL SELECT id, target, 5, 0 FROM pairs WHERE kind = 'Function' AND strpos(owner, '.') > 0 AND t_scope = file || ':' || around
+  UNION ALL SELECT id, target, 6, CASE WHEN own THEN 1 ELSE 0 END FROM pairs WHERE kind = 'Function' AND owner <> '' AND top AND related
+  UNION ALL SELECT id, target, 7, CASE WHEN own THEN 1 ELSE 0 END FROM pairs WHERE kind = 'Function' AND owner <> '' AND NOT top AND related
+  UNION ALL SELECT id, target, 8, CASE WHEN own THEN 0 ELSE 1 END FROM pairs WHERE owner = '' AND (own OR go_dir)
+  UNION ALL SELECT c.id, f.target, 9, 0 FROM calls c JOIN asked a ON a.file = c.file AND a.name = c.name JOIN found f ON f.id = a.id JOIN syms s ON s.target = f.target AND s.kind = 'Function')
+SELECT id, target, "rank" FROM (SELECT id, target, "rank", row_number() OVER (PARTITION BY id ORDER BY "rank", pref, target) AS n FROM props) WHERE n = 1""")
+def _(g: CodeGraph) -> DataFrame:
+    return resolve.resolve_calls(g.nodes, _raw_edges(g))
 
 
 @query("method_anywhere", """SELECT e.id, count(DISTINCT n.id) AS homonyms, min(CASE WHEN split_part(n.id, '#', 1) <> split_part(e.from_node, '#', 1) THEN n.id END) AS elsewhere
