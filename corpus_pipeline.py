@@ -11,11 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphspark.llm import decontaminate, kneser_ney, mixing, near_dedup, sharding
-from graphspark.llm.storage import materialise
+from graphspark.llm.storage import drop, materialise
 
 SHARDS = 24
 
-#: No SQL: perplexities of a trained model and ProbMinHash are beyond it; tests hold the stages against brute force.
+#: No SQL: perplexities of a trained model and ProbMinHash are beyond it; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
@@ -60,13 +60,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again before the next stage."""
-    docs = _table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{k}")
-    return docs
+    """All stages over ``documents``; each result is written and read again before the next stage.
+
+    A result goes when that of the next stage is written, so of all copies of the corpus only the last one stays.
+    """
+    docs, before = _table(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{k}")
+        if before is not None:
+            drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
