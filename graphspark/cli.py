@@ -142,7 +142,8 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
             if a.output:
                 export.write(graph, a.format, a.output, a.include_external)
                 return 0
-            write(export.text(graph, a.format, a.include_external).rstrip("\n"))
+            for line in export.each_line(graph, a.format, a.include_external):
+                write(line)
             return 0
         else:
             result = answer(Store(spark, store).graph(), a)

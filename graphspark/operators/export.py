@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,12 @@ def write(graph: CodeGraph, fmt: str, path: str, include_external: bool = False)
     lines(graph, fmt, include_external).orderBy("part", "id", "line").select("line").write.mode("overwrite").text(path)
 
 
+def each_line(graph: CodeGraph, fmt: str, include_external: bool = False) -> Iterator[str]:
+    """The lines of an export in order, a partition of them at a time on the driver."""
+    for row in lines(graph, fmt, include_external).orderBy("part", "id", "line").toLocalIterator():
+        yield row.line
+
+
 def text(graph: CodeGraph, fmt: str, include_external: bool = False) -> str:
     """The whole export as one string, for graphs that the caller knows to be small."""
-    return "\n".join(r.line for r in lines(graph, fmt, include_external).orderBy("part", "id", "line").toLocalIterator()) + "\n"
+    return "\n".join(each_line(graph, fmt, include_external)) + "\n"
