@@ -160,6 +160,20 @@ def resolve_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _best(out)
 
 
+def homonyms(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, homonyms, elsewhere)`` of the calls whose name top-level functions bear: how many, and the least one of another file.
+
+    Both depend on the name and the caller's file only, so a call meets one row of its name, however many bear it.
+    """
+    top = nodes.where("kind = 'Function' AND NOT contains(scope, ':')").select(F.col("id").alias("target"), "name", C.file_of(F.col("id")).alias("t_file"))
+    names = stored(top.groupBy("name").agg(F.countDistinct("target").alias("homonyms")).join(_least_two(top, "name"), "name"), "homonyms")
+    calls = edges.where("edge_type = 'calls'").select("id", C.file_of(F.col("from_node")).alias("file"), F.substring_index("raw_to_node", ":", -1).alias("name"))
+    elsewhere = F.when(F.col("file") != F.col("t_file"), F.col("target")).when(F.col("file") == F.col("t_file"), F.col("other"))
+    # Edges that share an id count each name once.
+    by_name = calls.join(names, "name").groupBy("id", "name").agg(F.first("homonyms").alias("homonyms"), F.min(elsewhere).alias("elsewhere"))
+    return by_name.groupBy("id").agg(F.sum("homonyms").alias("homonyms"), F.min("elsewhere").alias("elsewhere"))
+
+
 def apply_resolution(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """``edges`` with the targets found; arguments and other metadata stay, and calls without a target say ``unknown``."""
     joined = edges.join(targets.select("id", "target"), "id", "left")

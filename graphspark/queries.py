@@ -180,10 +180,7 @@ def _(g: CodeGraph) -> DataFrame:
 @query("method_anywhere", """SELECT e.id, count(DISTINCT n.id) AS homonyms, min(CASE WHEN split_part(n.id, '#', 1) <> split_part(e.from_node, '#', 1) THEN n.id END) AS elsewhere
 FROM tg_edges e JOIN tg_nodes n ON n.kind = 'Function' AND n.name = substr(e.raw_to_node, 11) AND n.scope NOT LIKE '%:%' WHERE e.edge_type = 'calls' GROUP BY e.id""")
 def _(g: CodeGraph) -> DataFrame:
-    top = g.nodes.where("kind = 'Function' AND NOT contains(scope, ':')").select(F.col("id").alias("target"), "name")
-    calls = g.edges.where("edge_type = 'calls'").select("id", "from_node", F.substring_index("raw_to_node", ":", -1).alias("name"))
-    other = C.file_of(F.col("target")) != C.file_of(F.col("from_node"))
-    return calls.join(top, "name").groupBy("id").agg(F.countDistinct("target").alias("homonyms"), F.min(F.when(other, F.col("target"))).alias("elsewhere"))
+    return resolve.homonyms(g.nodes, g.edges)
 
 
 @query("param_order", f"""SELECT f.id AS function, CAST(row_number() OVER (PARTITION BY f.id ORDER BY {LINE.replace('location', 'v.location')}, {COL.replace('location', 'v.location')}, v.id) - 1 AS BIGINT) AS position, v.id AS param, v.name

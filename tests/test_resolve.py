@@ -34,3 +34,42 @@ def test_other_files_come_first_and_own_scope_before_all(spark):
 
 def test_packages_go_by_their_folder(spark):
     assert resolved(spark, [("imports", "a.py#", "pkg"), ("calls", "a.py#f", "pkg.start")]) == {1: ("pkg/__init__.py#start", 2)}
+
+
+def test_homonyms_meet_calls_once(spark):
+    """The counts of all pairs of calls and functions, without a join that makes them."""
+    files = [f"f{k}.py" for k in range(4)]
+    names = [(f"{files[k % 4] if k % 5 else files[0]}#n{k}", f"fn{k % 3}") for k in range(60)] + [("f1.py#only", "only")]
+    nodes = spark.createDataFrame([(i, "Function", n, "", "", i.split("#")[0], "", "", 0) for i, n in [*names, names[0]]], NODE)
+    calls = [(f"c{k % 180}", f"{files[k % 3]}#g", f"fn{k % 4}" if k % 7 else "only") for k in range(200)] + [(None, "f1.py#g", "only"), (None, "f0.py#g", "fn0"), ("lost", None, "fn1")]
+    edges = spark.createDataFrame([(i, "calls", f, "", "", "", "{}", f"#external:{t}") for i, f, t in calls], EDGE)
+    expected = {}
+    for i, f, t in calls:
+        for target, name in names:
+            if name == t:
+                hits, others = expected.setdefault(i, (set(), set()))
+                hits.add(target)
+                if f and f.split("#")[0] != target.split("#")[0]:
+                    others.add(target)
+    found = resolve.homonyms(nodes, edges)
+    assert {r.id: (r.homonyms, r.elsewhere) for r in found.collect()} == {i: (len(h), min(o, default=None)) for i, (h, o) in expected.items()}
+    joins = [x for x in plan_rows(found) if x[0].endswith("Join")]
+    assert joins and all(n <= len(calls) for _, n in joins)
+
+
+def plan_rows(df):
+    """Names and output rows of the operators of an executed plan."""
+    todo, out = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.finalPhysicalPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+            continue
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined():
+            out.append((node.nodeName(), metric.get().value()))
+        todo.extend(node.children().apply(k) for k in range(node.children().size()))
+    return out
