@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphspark.llm.storage import drop, materialise
 
 
+def starred(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``(x, y)``: edges with the same nodes and components, without a join.
+
+    A node keeps the edge to its least neighbour, to which its other lesser neighbours go over. Where many nodes have the
+    same few neighbours, as members of buckets have their leaders, about one edge for each node is left of all these.
+    """
+    ordered = edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).withColumn("to", F.min("x").over(Window.partitionBy("y")))
+    ends = F.array("y", F.when(F.col("x") != F.col("to"), F.col("x")))
+    return ordered.select(F.col("to").alias("x"), F.explode(ends).alias("y")).where("y IS NOT NULL").distinct()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` of every node with an edge; the component is its least node.
 
     Every round takes the least label among a node's neighbours, then the label of that label, and writes the labels to
     the shared folder, so lineage stays short; the number of rounds grows with the logarithm of the longest path.
     """
-    pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
+    pairs = starred(edges, a, b)
     both = materialise(pairs.union(pairs.select("y", "x")).distinct(), "edges")
     labels = materialise(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("component")), "labels")
     while True:
@@ -32,7 +43,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 def merged_components(labels: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of a graph whose components ``labels`` are known, after ``edges`` more: only these, between labels, go round."""
-    pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
+    pairs = materialise(starred(edges, a, b), "links")
     ends = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "node")
     every = labels.unionByName(ends.join(labels, "node", "left_anti").withColumn("component", F.col("node")))
     every = materialise(every, "labels")

@@ -356,6 +356,34 @@ def test_merged_components(spark):
     assert components.merged_components(labels.limit(0), frame([])).count() == 0
 
 
+def test_members_of_many_stars_take_one_edge_each(spark, monkeypatch):
+    """Nodes under the same forty leaders go round with an edge for each node, not for each leader of it."""
+    rng, written, store = np.random.default_rng(5), Counter(), components.materialise
+
+    def counting(df, name):
+        out = store(df, name)
+        written[name] = max(written[name], out.count())
+        return out
+
+    monkeypatch.setattr(components, "materialise", counting)
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    rows = [(lead, node) if node % 2 else (node, lead) for node in range(100, 500) for lead in range(0, 80, 2) if lead < 70 or node > 300] + [(901, 900), (903, 903)]
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    expected = {n: 0 for n in [*range(0, 80, 2), *range(100, 500)]} | {900: 900, 901: 900, 903: 903}
+    assert dict(map(tuple, components.connected_components(frame(rows)).collect())) == expected
+    assert 0 < written["edges"] <= 2 * len(expected) < len(rows)
+    first = components.connected_components(frame(rows[:50]))
+    assert dict(map(tuple, components.merged_components(first, frame(rows)).collect())) == expected
+    for n in (30, 60, 200):
+        pairs, label = [(int(a), int(b)) for a, b in rng.integers(0, 100, (n, 2))], {}
+        for x in {x for p in pairs for x in p}:
+            label[x] = x
+        for _ in pairs:
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        assert dict(map(tuple, components.connected_components(frame(pairs)).collect())) == label
+
+
 def test_dealt_blocks_hold_every_pair_across_components(spark):
     rows = [("g", n, 1 if n < 30 else n, 10) for n in range(37)] + [("h", n, 5, 10) for n in range(100, 120)]
     dealt = near_dedup._dealt(spark.createDataFrame(rows, "bucket string, node long, component long, size long"), "bucket", 4, 1000).collect()
