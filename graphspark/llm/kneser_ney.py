@@ -1,9 +1,9 @@
 """Quality by the perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 The model is over runs of four characters, so it needs no vocabulary and works for every language and every length of
-text. It is trained on a bounded sample of trusted documents (four fifths of ``trusted`` of them at most); all other
-trusted documents, whatever their number, set the thresholds. Its tables of counts stay sharded by n-gram: a chunk of documents asks for its own distinct
-n-grams, joins with the shards of every order give their probabilities, and the answers return to the chunk.
+text. It is trained on four fifths of all trusted documents, by hash; the others, which it has not seen, set the
+thresholds. Its tables of counts stay sharded by n-gram: a chunk of documents asks for its own distinct n-grams, joins
+with the shards of every order give their probabilities, and the answers return to the chunk.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphspark.llm.packing import pack, unpack
-from graphspark.llm.storage import materialise, whole_row
+from graphspark.llm.storage import drop, materialise, whole_row
 from graphspark.llm.words import raw, slices, trim
 
 ORDER = 4
@@ -28,6 +28,8 @@ BEGIN, END, OTHER = 1, 2, 0xFFFE
 PRIOR_CHARACTERS = 160
 #: Bytes of text whose n-grams are in memory at a time.
 SLICE = 1 << 20
+#: Ids that one broadcast holds when texts are picked by id, and how many such there may be; more ids are joined by a shuffle.
+LEARNT_PIECE, LEARNT_PIECES = 1 << 20, 8
 _ASKED = (("shard", pa.int32()), ("_chunk", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()))
 
 
@@ -101,7 +103,8 @@ def train(docs: DataFrame, text: str) -> Model:
     The counts of the highest order are those of the text; below, a count is the number of different characters before
     the n-gram. All tables come from grouping and joining counts by their keys.
     """
-    counts, parts = materialise(count_grams(docs, text), "kn-counts"), []
+    highest = counts = materialise(count_grams(docs, text), "kn-counts")
+    parts = []
     row = lambda order, part, key, value: (F.lit(order).alias("ord"), F.lit(part).alias("part"), F.col(key).alias("key"), value.alias("value"))
     for order in range(ORDER, 1, -1):
         d1, d2, d3 = _discounts(counts)
@@ -119,7 +122,9 @@ def train(docs: DataFrame, text: str) -> Model:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return Model(materialise(out, "kn-model"), (whole["less"] or 0.0) / total, 1.0 / (whole["kinds"] + 1))
+    table = materialise(out, "kn-model")
+    drop(highest)
+    return Model(table, (whole["less"] or 0.0) / total, 1.0 / (whole["kinds"] + 1))
 
 
 def log_probabilities(asked: DataFrame, model: Model) -> DataFrame:
@@ -243,13 +248,28 @@ def quantiles(rows: DataFrame, group: str, value: str, quantile: float, least: i
     return out
 
 
-def training_ids(labels: DataFrame, key: str, quality: str, trusted: int) -> DataFrame:
-    """``id`` of the trusted documents that the model is fitted on: four fifths of ``trusted`` at most, by hash."""
-    chosen = labels.where((F.col(quality) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(trusted)
+def training_ids(labels: DataFrame, key: str, quality: str, trusted: int | None = None) -> DataFrame:
+    """``id`` of the trusted documents that the model is fitted on: four fifths of all, or of ``trusted`` at most, by hash."""
+    chosen = labels.where((F.col(quality) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct()
+    if trusted is not None:
+        chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(trusted)
     return chosen.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) != 0)
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", trusted: int = 20_000, quantile: float = 0.995, least: int = 50, chunk_bytes: int = 12 << 20) -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``text`` of the rows whose ``key`` is among the distinct ``id``; texts are shuffled only where ids are too many."""
+    pieces = -(-ids.count() // LEARNT_PIECE) or 1
+    among = lambda few: docs.select("key", "text").join(few, F.col("key") == F.col("id"), "left_semi").select("text")
+    if pieces > LEARNT_PIECES:
+        return among(ids)
+    parts = [among(F.broadcast(ids.where(F.pmod(F.xxhash64("id"), F.lit(pieces)) == k))) for k in range(pieces)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", trusted: int | None = None, quantile: float = 0.995, least: int = 50, chunk_bytes: int = 12 << 20) -> DataFrame:
     """``docs`` with ``perplexity``, ``quality_bits``, ``threshold`` (of bits) and ``kept``, in place of columns so named.
 
     ``perplexity`` is that of the model, by character. ``quality_bits`` is its logarithm after as many characters of
@@ -262,16 +282,15 @@ def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     added = ("perplexity", "quality_bits", "threshold", "kept")
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     own = docs.select(whole_row(docs), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-    # At most ``trusted`` ids: small enough to go to every task.
     learnt = materialise(training_ids(labels, key, quality, trusted), "kn-learnt")
-    sample = materialise(own.join(F.broadcast(learnt), F.col("key") == F.col("id"), "left_semi").select("text").where("text IS NOT NULL"), "kn-sample")
+    sample = texts_of(own, learnt).where("text IS NOT NULL")
     if sample.limit(1).count() == 0:
         return own.select("row.*", F.lit(1.0).alias("perplexity"), F.lit(0.0).alias("quality_bits"), F.lit(float("inf")).alias("threshold"), (F.length(F.coalesce("text", F.lit(""))) > 0).alias("kept"))
     # One pass scores every row; what it finds is kept without the text, by key and hash of the text.
     scored = perplexities(own.select("key", "text", "lang"), train(sample, "text"), text="text", chunk_bytes=chunk_bytes)
     scored = materialise(scored.select("key", F.xxhash64("text").alias("hash"), F.col("text").isNull().alias("none"), "lang", "_bits", "_n"), "kn-scored")
 
-    judges = labels.where((F.col(quality) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("id")).join(F.broadcast(learnt), "id", "left_anti")
+    judges = labels.where((F.col(quality) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("id")).join(learnt, "id", "left_anti")
     unseen = materialise(scored.where("NOT none").join(judges, F.col("key") == F.col("id"), "left_semi").select("lang", "_bits", "_n"), "kn-unseen")
     sums = unseen.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum("_bits").alias("bits"), F.sum("_n").alias("n")).collect()
     centre = _of_language({r["lang"]: r["bits"] / r["n"] for r in sums if r["rows"] >= least and r["lang"] is not None}, sum(r["bits"] for r in sums) / sum(r["n"] for r in sums) if sums else 0.0)("lang")

@@ -670,6 +670,27 @@ def test_thresholds_cover_all_trusted_documents(spark):
         assert {r.threshold for r in own} == {limits[name]} and 0.97 * len(own) <= sum(r.kept for r in own) < len(own)
 
 
+def test_model_learns_from_all_trusted_documents(spark, monkeypatch):
+    """Four fifths of 30,000, whether their ids are broadcast at once, in pieces or not at all."""
+    docs = spark.range(30_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("en").alias("lang"))
+    labels = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    learnt = []
+
+    def train(sample, text):
+        learnt.append({r[0] for r in sample.collect()})
+        raise InterruptedError
+
+    monkeypatch.setattr(kneser_ney, "train", train)
+    for piece, pieces in ((1 << 20, 8), (9_000, 8), (1_000, 8)):
+        monkeypatch.setattr(kneser_ney, "LEARNT_PIECE", piece, raising=False)
+        monkeypatch.setattr(kneser_ney, "LEARNT_PIECES", pieces, raising=False)
+        with pytest.raises(InterruptedError):
+            kneser_ney.judge(docs, labels)
+    hashed = docs.where("doc_id < 30000").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) != 0)
+    expected = {r.text for r in hashed.select("text").collect()}
+    assert learnt == [expected] * 3 and 23_500 < len(expected) < 24_500
+
+
 def test_quantiles_are_exact(spark):
     values = np.random.default_rng(4).normal(3, 0.4, 500)
     rows = [("a" if k % 3 else "b" if k % 2 else None, float(round(v, 3))) for k, v in enumerate(values)] + [("c", 9.0)] * 3
