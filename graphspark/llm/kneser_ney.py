@@ -269,7 +269,7 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", trusted: int | None = None, quantile: float = 0.995, least: int = 50, chunk_bytes: int = 12 << 20) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", trusted: int | None = None, quantile: float = 0.995, least: int = 50, chunk_bytes: int = 12 << 20, columns: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` with ``perplexity``, ``quality_bits``, ``threshold`` (of bits) and ``kept``, in place of columns so named.
 
     ``perplexity`` is that of the model, by character. ``quality_bits`` is its logarithm after as many characters of
@@ -277,11 +277,12 @@ def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     are at most the ``quantile`` of all trusted documents of its language that the model has not seen; languages with
     fewer than ``least`` of these, and null, take the quantile over all of them. Null and empty texts are rejected.
     Repeated rows are judged alike. Without trusted documents every text that is not empty stays, with perplexity 1. An
-    empty table gives an empty table. Other columns stay, whatever their names.
+    empty table gives an empty table. Other columns stay, whatever their names, or of them the ``columns`` asked for: what
+    is left out, such as the text, moves once less.
     """
     added = ("perplexity", "quality_bits", "threshold", "kept")
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
-    own = docs.select(whole_row(docs), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
+    own = docs.select(whole_row(docs if columns is None else docs.select(*[F.col(f"`{c}`") for c in columns])), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     learnt = materialise(training_ids(labels, key, quality, trusted), "kn-learnt")
     sample = texts_of(own, learnt).where("text IS NOT NULL")
     if sample.limit(1).count() == 0:

@@ -69,7 +69,7 @@ FROM dw LEFT JOIN hits USING (r) LEFT JOIN its USING (r)
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return kneser_ney.judge(docs, table(spark, sf_dir, "labels")).select("doc_id", "lang", F.round("quality_bits", 6).alias("quality_bits"), F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
+    return kneser_ney.judge(docs, table(spark, sf_dir, "labels"), columns=("doc_id", "lang")).select("doc_id", "lang", F.round("quality_bits", 6).alias("quality_bits"), F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
 
 
 def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphspark.llm import components, decontaminate, deleted_interpolation, exact_dedup, html_text, kneser_ney, mixing, near_dedup, personal_data, sharding, token_counts
+from graphspark.llm import components, decontaminate, deleted_interpolation, exact_dedup, html_text, kneser_ney, mixing, near_dedup, personal_data, queries, sharding, token_counts
 
 LONG = "lorem ipsum dolor " * 4000
 ODD = [
@@ -691,6 +691,16 @@ def test_model_learns_from_all_trusted_documents(spark, monkeypatch):
     assert learnt == [expected] * 3 and 23_500 < len(expected) < 24_500
 
 
+def test_text_that_is_not_asked_for_moves_once(spark, small_dir, docs):
+    labels = spark.read.parquet(f"{small_dir}/labels.parquet")
+    got = queries.op7_kneser_ney(spark, small_dir)
+    whole = kneser_ney.judge(docs, labels)
+    last = got._jdf.queryExecution().executedPlan().toString()
+    assert "text" in whole._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in last.splitlines() if "named_struct" in line and re.search(r"\btext\b", line[line.index("named_struct"):].split(" AS row")[0])]
+    assert sorted((r.doc_id, r.kept) for r in got.collect()) == sorted((r.doc_id, r.kept) for r in whole.collect())
+
+
 def test_quantiles_are_exact(spark):
     values = np.random.default_rng(4).normal(3, 0.4, 500)
     rows = [("a" if k % 3 else "b" if k % 2 else None, float(round(v, 3))) for k, v in enumerate(values)] + [("c", 9.0)] * 3
